@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .licenses import op5_licenses
 from .media import op4_media
 from .mixing import op2_mixing
+from .packing import op10_packing
+from .quality import op6_quality
+from .simhash import op8_simhash
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_media": op4_media,
+    "op5_licenses": op5_licenses,
+    "op6_quality": op6_quality,
+    "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
