@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, map_columns, table
@@ -71,24 +71,18 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(labelled: DataFrame, max_rows: int = 10_000, epochs: int = 3, bits: int = BITS, min_rows: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots, weights and bias from rows of (doc_id, text, label)."""
-    first = Window.partitionBy("label").orderBy("pick", "doc_id")
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: int = 3, bits: int = BITS, min_rows: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots, weights and bias, from the texts of the rows that ``labels`` (doc_id, label) has."""
     pick = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    share = 64 * max_rows  # ids whose hash is small enough to be among the first, before the exact cut
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = labelled.withColumn("pick", F.pmod(pick, F.lit(1 << 30)))
-    limit = F.lit(float(1 << 30))
-    for label, n in counts.items():
-        if n > share // 32:
-            limit = F.when(F.col("label") == label, F.lit((1 << 30) * 2.0 * max_rows / n)).otherwise(limit)
-    rows = rows.where(F.col("pick") <= limit)
-    chosen = rows.select("doc_id", "label", "pick").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max_rows).select("doc_id", "label", "pick").distinct()
-    sample = rows.join(chosen, ["doc_id", "label", "pick"], "left_semi").select(F.col("label").cast("int").alias("label"), "pick", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = [labels.where(F.col("label") == label).select("doc_id", "label", pick.alias("pick")).orderBy("pick", "doc_id").limit(max_rows) for label in counts]
     total = sum(counts.values())
     if not total or len([n for n in counts.values() if n]) < 2:
         rate = counts.get(1, 0) / total if total else 0.0
         return np.zeros(0, np.int64), np.zeros(0), float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))
+    # At most max_rows of each of two labels, so the ids may be broadcast and no text is shuffled to find them.
+    some = F.broadcast(chosen[0].union(chosen[1]).distinct())
+    sample = docs.select("doc_id", "text").join(some, "doc_id").select("label", "pick", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
 
     def slots(batch):
         raw, offsets = column_bytes(batch.column("raw"))
@@ -141,15 +135,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
     return map_columns(rows, keep, "toxic_score double", run)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows to learn from: labelled toxic 0 or 1, and crc32 of the id modulo 3 not 1."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
-    return docs.select("doc_id", "text").where(fold(F.col("doc_id"), 3) != 1).join(known, "doc_id")
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) to learn from: toxic 0 or 1, and crc32 of the id modulo 3 not 1."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
+    return known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), 3) != 1))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = train(docs, known_labels(table(spark, sf_dir, "labels")))
     rows = docs.select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
     return score(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.when(F.col("toxic_score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
