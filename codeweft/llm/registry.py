@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+from corpus_pipeline import run as pipeline
+
 from .html_text import op3_html
 from .licenses import op5_licenses
 from .lm import op7_lm
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {"op1_topk": OP1_SQL}
+if PIPELINE_SQL:
+    ORACLES["pipeline"] = PIPELINE_SQL
