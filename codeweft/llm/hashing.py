@@ -61,7 +61,7 @@ def chunks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def tokens(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray, prefixes: tuple[int, ...] = ()):
     """Hash of every token (A-Z lower-cased) and the number of tokens of each row.
 
-    With ``prefixes``, also the hash of the first so many bytes of every token, a shorter token's whole.
+    With ``prefixes``, also the hash of the first so many bytes of every token; 0 where it has no more than these.
     """
     rows = len(offsets) - 1
     if not len(raw):
@@ -80,5 +80,8 @@ def tokens(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray, prefixes: tup
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * _power(0, len(raw)), out=sums[1:])
         inverse = _power(1, len(raw))[starts]
-        hashes = [mixed((sums[e] - sums[starts]) * inverse) for e in (ends, *(np.minimum(ends, starts + n) for n in prefixes))]
+        hashes = [mixed((sums[ends] - sums[starts]) * inverse)]
+        for n in prefixes:
+            head = mixed((sums[np.minimum(ends, starts + n)] - sums[starts]) * inverse)
+            hashes.append(np.where(ends - starts > n, head, np.uint64(0)))
     return hashes[0], np.diff(np.searchsorted(starts, offsets)), *hashes[1:]

@@ -26,8 +26,10 @@ from .hashing import ALNUM, chunks, column_bytes, pair, tokens
 
 BITS = 20
 CHUNK_BYTES = 4 << 20
-#: Words also count by their first bytes, so that a rare form is near the forms that were learned.
-PREFIXES = (4, 6)
+#: Updates of the learner, about: small samples are read more often.
+UPDATES = 60_000
+#: Longer words also count by their first bytes, so that a rare form is near the forms that were learned.
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 def feature_slots(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +38,7 @@ def feature_slots(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tup
     row = np.repeat(np.arange(len(counts)), counts)
     shift = np.uint64(64 - bits)
     with np.errstate(over="ignore"):
-        kinds = [(row, words >> shift), *((row, pair(h, h, 10 + n) >> shift) for n, h in zip(PREFIXES, heads))]
+        kinds = [(row, words >> shift), *((row[h != 0], pair(h[h != 0], h[h != 0], 10 + n) >> shift) for n, h in zip(PREFIXES, heads))]
         for gap, salt in ((1, 1), (2, 2)):
             same = row[gap:] == row[:-gap] if len(row) > gap else np.zeros(0, bool)
             kinds.append((row[gap:][same], pair(words[:-gap][same], words[gap:][same], salt) >> shift) if len(same) else (row[:0], words[:0]))
@@ -48,9 +50,9 @@ class Ftrl:
     """FTRL-proximal with a rate per coordinate."""
 
     size: int
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 3.5
     l2: float = 1.0
 
     def __post_init__(self):
@@ -71,7 +73,7 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: int = 3, bits: int = BITS, min_rows: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: int | None = None, bits: int = BITS, min_rows: int = 4, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots, weights and bias, from the texts of the rows that ``labels`` (doc_id, label) has."""
     pick = F.xxhash64(F.lit(seed), F.col("doc_id"))
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -100,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: in
         seen = np.bincount(np.concatenate([s for s, _ in rows]), minlength=1 << bits)
         rows = [(s[seen[s] >= min_rows], y) for s, y in rows]
         model = Ftrl(1 << bits)
-        for _ in range(epochs):
+        for _ in range(epochs or max(4, min(12, UPDATES // len(rows)))):
             for at, y in rows:
                 model.learn(at, float(y))
         w = model.weights(np.arange(model.size + 1))
