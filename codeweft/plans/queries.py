@@ -20,7 +20,8 @@ from ..operators import mutate as M
 from ..operators import setops as D
 from ..operators import traverse as T
 from ..operators import vectors as V
-from ..schemas import COMMUNITY_WEIGHTS
+from ..schemas import COMMUNITY_WEIGHTS, RULES
+from ..streaming.events import drain
 from .commerce import GRAPH_SQL, commerce, parties, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -729,3 +730,68 @@ def snk17(spark, sf):
 def snk18(spark, sf):
     g = commerce(spark, sf)
     return E.report(A.graph_stats(g), A.hubs(g), A.surprising(g), A.suggested_questions(g), A.insights(g))
+
+
+# ---- streams: the driver's events as mutations of their users
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    # A glob serves a single file and a folder of parts alike.
+    rows = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events.parque[t]")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("str1_split_users", "SELECT DISTINCT user_id FROM events WHERE event_type = 'error'", graph=False)
+def str1(spark, sf):
+    return drain(_event_stream(spark, sf).where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "str1").select("user_id")
+
+
+@query("str2_last_signature", "SELECT user_id, arg_max(props, (ts, event_id)) AS props FROM events WHERE event_type = 'click' GROUP BY 1", graph=False)
+def str2(spark, sf):
+    return drain(_event_stream(spark, sf).where("event_type = 'click'").groupBy("user_id").agg(F.max_by("props", F.struct("ts", "event_id")).alias("props")), "str2")
+
+
+@query("str3_last_status", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS events FROM events GROUP BY 1", graph=False)
+def str3(spark, sf):
+    return drain(_event_stream(spark, sf).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count(F.lit(1)).alias("events")), "str3")
+
+
+@query("str4_daily_batches", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2", graph=False)
+def str4(spark, sf):
+    counts = _event_stream(spark, sf).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"))
+    return drain(counts, "str4").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
+
+
+# ---- rules and embedders on the driver's texts
+
+
+@query("prj12_rule_hits", "SELECT page_id AS fqn, CASE WHEN starts_with(url, 'https://') THEN 'secure' ELSE 'plain' END AS id FROM pages WHERE starts_with(url, 'http')", graph=False)
+def prj12(spark, sf):
+    none = F.array().cast("array<struct<annotations:array<string>>>")
+    methods = F.array().cast("array<struct<annotations:array<string>,parameters:array<struct<annotations:array<string>>>>>")
+    types = table(spark, sf, "pages").select(F.col("page_id").alias("fqn"), F.array("url").alias("imports"), F.lit(None).cast("string").alias("super_class"), F.array().cast("array<string>").alias("interfaces"), F.array().cast("array<string>").alias("annotations"), methods.alias("methods"), *[none.alias(c) for c in ("fields", "enum_constants", "record_components")])
+    rules = _one(spark, RULES, ("secure", "Secure", "web", ([], ["https://"], [], [])), ("plain", "Plain", "web", ([], ["http://"], [], [])))
+    return L.rule_hits(types, rules).select("fqn", "id")
+
+
+@query("prj13_annotation_hits", "SELECT doc_id AS fqn, lang AS id FROM documents WHERE lang IN ('en', 'fr')", graph=False)
+def prj13(spark, sf):
+    none = F.array().cast("array<struct<annotations:array<string>>>")
+    methods = F.array(F.struct(F.array(F.concat(F.lit("@a.b."), "lang", F.lit("(x = 1)"))).alias("annotations"), none.alias("parameters")))
+    types = table(spark, sf, "documents").select(F.col("doc_id").alias("fqn"), F.array().cast("array<string>").alias("imports"), F.lit(None).cast("string").alias("super_class"), F.array().cast("array<string>").alias("interfaces"), F.array().cast("array<string>").alias("annotations"), methods.alias("methods"), *[none.alias(c) for c in ("fields", "enum_constants", "record_components")])
+    rules = _one(spark, RULES, ("en", "English", "lang", (["x.y.en"], [], [], [])), ("fr", "French", "lang", (["fr"], [], [], [])))
+    return L.rule_hits(types, rules).select("fqn", "id")
+
+
+@query("ext5_embedded_texts", "SELECT item_id, TRUE AS embedded FROM benchmark", graph=False)
+def ext5(spark, sf):
+    made = V.hashing_vectors(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return made.select(F.col("id").alias("item_id"), (F.size("vector") == 64).alias("embedded"))
+
+
+@query("gra9_girvan_newman")
+def gra9(spark, sf):
+    """On the suppliers that share a customer, one nation's share: a graph of bounded size."""
+    g = commerce(spark, sf)
+    some = g.with_(nodes=g.nodes.where("community_id < 3 OR kind = 'METHOD'"), edges=g.edges.where("type = 'DEPENDS_ON'"))
+    return C.girvan_newman(some, 5)
