@@ -25,7 +25,7 @@ from .common import fold, map_columns, table
 from .hashing import ALNUM, chunks, column_bytes, pair, tokens
 
 BITS = 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Updates of the learner, about: small samples are read more often.
 UPDATES = 60_000
 #: Longer words also count by their first bytes, so that a rare form is near the forms that were learned.
