@@ -106,5 +106,7 @@ def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
     counts = mix(docs, **kwargs).select("doc_id", "size", "taken")
     copies = counts.groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(0).cast("int")
-    kept = copies.select("doc_id", times.alias("_times")).where("_times > 0")
-    return docs.join(kept, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    kept = copies.select("doc_id", times.alias("times")).where("times > 0").alias("k")
+    boxed = docs.select("doc_id", F.struct(*docs.columns).alias("row")).alias("d")
+    joined = boxed.join(kept, _same(F.col("d.doc_id"), F.col("k.doc_id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return joined.select("row.*")

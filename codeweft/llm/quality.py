@@ -160,4 +160,6 @@ def op6_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    return quality(docs, labels, docs.columns).where(F.col("quality") >= threshold).select(*docs.columns)
+    """Rows of ``docs`` that are good with at least the threshold; whole rows travel as one column, so no name can clash."""
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
+    return quality(boxed, labels, ["row"]).where(F.col("quality") >= threshold).select("row.*")

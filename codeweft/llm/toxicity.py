@@ -151,4 +151,6 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:
-    return score(docs, model, docs.columns).where(F.col("toxic_score") < threshold).drop("toxic_score")
+    """Rows of ``docs`` that score under the threshold; whole rows travel as one column, so no name can clash."""
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return score(boxed, model, ["row"]).where(F.col("toxic_score") < threshold).select("row.*")

@@ -18,7 +18,7 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     rows = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, size string")
-    return rows.withColumns({"label": F.lit("clash"), "fp": F.lit(1), "score": F.lit(2.0), "taken": F.lit(3)})
+    return rows.withColumns({"label": F.lit("clash"), "fp": F.lit(1), "score": F.lit(2.0), "taken": F.lit(3), "quality": F.lit(0), "toxic_score": F.lit(9.0), "evidence": F.lit(1), "host_rate": F.lit(1), "bins": F.lit(1), "times": F.lit(9), "row": F.lit(1), "raw": F.lit(1)})
 
 
 @pytest.fixture(scope="session")
