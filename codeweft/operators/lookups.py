@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +119,17 @@ def rule_hits(types: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.join(rules.select("id", "name", "category"), "id").select("fqn", "id", "name", "category")
 
 
+def custom_hits(types: DataFrame, rule: tuple[str, str, str], matches: Callable[[pd.DataFrame], pd.Series], columns: list[str]) -> DataFrame:
+    """(fqn, id, name, category) where a user's rule matches: it sees batches of ``columns`` and gives booleans."""
+
+    def run(batches):
+        for batch in batches:
+            hits = batch.loc[matches(batch).to_numpy(bool), ["fqn"]]
+            yield hits.assign(id=rule[0], name=rule[1], category=rule[2])
+
+    return types.select("fqn", *columns).mapInPandas(run, "fqn string, id string, name string, category string")
+
+
 def injected_fields(types: DataFrame) -> DataFrame:
     fields = F.filter("fields", lambda f: F.exists(f["annotations"], lambda a: F.rlike(a, F.lit("|".join(INJECTION_MARKS)))))
     return types.select("fqn", F.explode(fields).alias("field")).select("fqn", "field.type", "field.name")

@@ -48,6 +48,17 @@ def similarity_edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.lit("SEMANTICALLY_SIMILAR").alias("type"), F.concat(F.lit("class:"), "a").alias("from_id"), F.concat(F.lit("class:"), "b").alias("to_id"), F.col("score").alias("weight"), F.lit("INFERRED").alias("provenance"), F.col("score").alias("confidence_score"))
 
 
+def encode_vectors(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """Vectors as little-endian 32-bit floats, for stores that keep blobs."""
+    blob = F.pandas_udf(lambda xs: xs.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes()), "binary")
+    return vectors.withColumn(column, blob(column))
+
+
+def decode_vectors(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    floats = F.pandas_udf(lambda xs: xs.map(lambda x: None if x is None else np.frombuffer(x, "<f4")), "array<float>")
+    return vectors.withColumn(column, floats(column))
+
+
 def alike_shapes(types: DataFrame) -> DataFrame:
     """Pairs (a, b) of one kind and number of methods, for when there are no vectors."""
     t = types.select("fqn", "kind", "method_count")

@@ -789,9 +789,11 @@ def ext5(spark, sf):
     return made.select(F.col("id").alias("item_id"), (F.size("vector") == 64).alias("embedded"))
 
 
-@query("gra9_girvan_newman")
+@query("gra9_removal_order")
 def gra9(spark, sf):
-    """On the suppliers that share a customer, one nation's share: a graph of bounded size."""
+    """Edges in the order of their betweenness, for the types of each nation: components of bounded size."""
     g = commerce(spark, sf)
-    some = g.with_(nodes=g.nodes.where("community_id < 3 OR kind = 'METHOD'"), edges=g.edges.where("type = 'DEPENDS_ON'"))
-    return C.girvan_newman(some, 5)
+    of = g.classes().select("id", "community_id")
+    inside = g.edges.where("type = 'DEPENDS_ON'").join(of.select(F.col("id").alias("from_id"), F.col("community_id").alias("c")), "from_id").join(of.select(F.col("id").alias("to_id"), F.col("community_id").alias("d")), "to_id").where("c = d")
+    nations = g.with_(edges=inside.select(*g.edges.columns))
+    return C.removal_order(nations, C.components(nations)).withColumn("betweenness", F.round("betweenness", 6))

@@ -11,6 +11,7 @@ from codeweft.operators import lookups as L
 from codeweft.operators import mutate as M
 from codeweft.operators import setops as D
 from codeweft.operators import traverse as T
+from codeweft.operators import vectors as X
 from codeweft.plans import build as B
 from codeweft.sources import files as F_
 from codeweft.sources.java import backend, extract_types, parse_source
@@ -198,3 +199,22 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "Emu.java").write_text("package zoo; class Emu extends Animal { Emu() { super(null); } }")
     assert main(["build", "-p", root, "--update", "--no-viz"], spark) == 0
     assert main(["path", "-p", root, "Emu", "Cat"], spark) == 0
+
+
+def test_user_rules_and_vector_blobs(spark, zoo):
+    hits = L.custom_hits(zoo.types, ("dogs", "Dogs", "pets"), lambda rows: rows["simple_name"].str.startswith("D"), ["simple_name"])
+    assert [tuple(r) for r in hits.collect()] == [("zoo.Dog", "dogs", "Dogs", "pets")]
+    vectors = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", None)], "fqn string, vector array<float>")
+    blobs = X.encode_vectors(vectors)
+    assert blobs.collect()[0]["vector"] == bytes.fromhex("0000803f0000004000004040")
+    assert X.decode_vectors(blobs).collect() == vectors.collect()
+
+
+def test_embedder_and_deep_build(spark, tmp_path):
+    body = "int run(int total) { return total + fee + fee; }"
+    root = write(tmp_path, Left=f"package d; class Left {{ {body} }}", Right=f"package d; class Right {{ {body} }}")
+    graph = B.build(spark, root, B.BuildOptions(deep=True))
+    edge = graph.edges.where("type = 'SEMANTICALLY_SIMILAR'").first()
+    assert (edge["from_id"], edge["to_id"], edge["provenance"]) == ("class:d.Left", "class:d.Right", "INFERRED") and edge["weight"] > 0.99
+    found = X.search(X.embed(graph.methods), X.embed(graph.methods).where("kind = 'CLASS'").first()["vector"], 5, 0.9).collect()
+    assert [r["fqn"] for r in found] == ["d.Left", "d.Right"]
