@@ -33,6 +33,8 @@ SEED = 42
 WIDTHS = (13, 13, 13, 13, 12)
 #: Fingerprints of a bucket's block.
 BLOCK = 2_048
+#: Classes of at most so many frequent fingerprints are broadcast; all others are joined by shuffle.
+HOT_FINGERPRINTS = 1_000
 #: Groups of at most so many fingerprints are compared in bulk.
 SMALL = 24
 LOWER_TABLE = LOWER.tobytes()
@@ -184,13 +186,18 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the smallest id of the class) for each row."""
     own = pinned(fingerprints(docs, id_col, text_col), "simhash-docs")
-    least = pinned(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-fps")
+    least = pinned(own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "simhash-fps")
     roots = connected_components(links(least.select("fp")))
     rooted = least.join(roots, least["fp"] == roots["node"]).select("fp", "root", "least_id")
     of_root = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = rooted.select("fp", "root").join(of_root, "root").select("fp", "component_id")
-    class_of = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return own.join(class_of, "fp").select("doc_id", "fp", "component_id")
+    class_of = pinned(least.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id")), "simhash-classes")
+    # Fingerprints that each hold more than a share of all rows are at most that many: these may be broadcast.
+    often = max(50.0, own.count() / HOT_FINGERPRINTS)
+    hot = F.broadcast(class_of.where(F.col("n") > often).select("fp", "component_id"))
+    rare = class_of.where(F.col("n") <= often).select("fp", "component_id")
+    spread = own.join(hot, "fp").union(own.join(hot.select("fp"), "fp", "left_anti").join(rare, "fp").select("fp", "doc_id", "component_id"))
+    return spread.select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
