@@ -2,7 +2,8 @@
 
 A text becomes its words (ASCII lower case) joined by single spaces. Rules are regular expressions
 over whole words with a keyword, a priority and a label; a rule runs only where its keyword occurs,
-and no rule runs where no license word occurs. A detection is an interval of words. One that lies
+and no rule runs where no license word occurs. Every match holds its keyword and a license word, so
+both only save work. A detection is an interval of words. One that lies
 within another gives way to it if the other has the higher priority, or the same and is longer, or
 is equal in both and its rule comes first. All of it is built from SQL functions.
 
@@ -21,7 +22,7 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that always count, with their labels (fixed values).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label: keyword; name in words, as a regular expression; SPDX id in words.
+#: label: keyword (a start of words in every match); name in words, as a regular expression; SPDX id in words.
 FAMILIES = {
     "afl": ("academic free", "academic free licen[cs]e", "afl [123] [0-9]"),
     "agpl": ("affero", "(?:gnu )?affero general public licen[cs]e", "agpl [123] 0"),
@@ -34,14 +35,14 @@ FAMILIES = {
     "bsl": ("business source", "business source licen[cs]e(?: 1 1)?", "busl 1 1"),
     "boost": ("boost", "boost software licen[cs]e", "bsl 1 0"),
     "cc0": ("cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    "cc-by": ("by", "(?:cc|creative commons) (?:by|attribution)(?: [1-4] [05])?(?: international| unported)?", "cc by [1-4] [05]"),
+    "cc-by": ("c", "(?:cc|creative commons) (?:by|attribution)(?: [1-4] [05])?(?: international| unported)?", "cc by [1-4] [05]"),
     "cc-by-nc": ("nc", "cc by nc(?: [1-4] [05])?", "cc by nc [1-4] [05]"),
     "cc-by-nc-nd": ("nd", "cc by nc nd(?: [1-4] [05])?", "cc by nc nd [1-4] [05]"),
     "cc-by-nc-sa": ("sa", "cc by nc sa(?: [1-4] [05])?", "cc by nc sa [1-4] [05]"),
     "cc-by-nd": ("nd", "cc by nd(?: [1-4] [05])?", "cc by nd [1-4] [05]"),
     "cc-by-sa": ("sa", "cc by sa(?: [1-4] [05])?", "cc by sa [1-4] [05]"),
-    "cc-nc-text": ("noncommercial", "creative commons attribution non ?commercial(?: [1-4] [05])?", "cc by nc"),
-    "cc-sa-text": ("sharealike", "creative commons attribution share ?alike(?: [1-4] [05])?", "cc by sa"),
+    "cc-nc-text": ("creative commons attribution non", "creative commons attribution non ?commercial(?: [1-4] [05])?", "cc by nc"),
+    "cc-sa-text": ("creative commons attribution share", "creative commons attribution share ?alike(?: [1-4] [05])?", "cc by sa"),
     "cddl": ("development and distribution", "common development and distribution licen[cs]e(?: 1 [01])?", "cddl 1 [01]"),
     "cecill": ("cecill", "cecill(?: free software)? licen[cs]e(?: [abc])?", "cecill [12] [01]"),
     "cpal": ("attribution", "common public attribution licen[cs]e", "cpal 1 0"),
@@ -103,7 +104,7 @@ FAMILIES = {
     "zlib": ("zlib", "zlib(?: libpng)? licen[cs]e", "zlib"),
     "zpl": ("zope", "zope public licen[cs]e", "zpl [12] [01]"),
 }
-#: Sentences of license texts: keyword, expression, label.
+#: Sentences of license texts: keyword (as above), expression, label.
 TEXTS = (
     ("free of charge", "permission is hereby granted free of charge to any person obtaining a copy", "mit-text"),
     ("redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", "bsd-text"),
@@ -116,14 +117,14 @@ TEXTS = (
     ("all rights reserved", "all rights reserved", "all-rights-reserved"),
     ("copyright", "copyright(?: c)? [12][0-9]{3}", "copyright-notice"),
     ("proprietary", "proprietary and confidential", "proprietary"),
-    ("commercial", "for non ?commercial use only", "non-commercial"),
-    ("reproduction", "unauthori[sz]ed (?:copying|reproduction|distribution) (?:of this file )?is (?:strictly )?prohibited", "proprietary"),
+    ("for non", "for non ?commercial use only", "non-commercial"),
+    ("unauthori", "unauthori[sz]ed (?:copying|reproduction|distribution) (?:of this file )?is (?:strictly )?prohibited", "proprietary"),
     ("commercial", "commercial licen[cs]e", "commercial"),
     ("evaluation", "evaluation licen[cs]e", "evaluation"),
     ("dual", "dual licen[cs]ed", "dual"),
 )
 #: Words of which a text must have one before any rule is tried.
-GATE = ("license", "licence", "licensed", "licenced", "licenses", "licences", "copyright", "spdx", "public domain", "warranty", "cc", "cc0", "unlicense", "wtfpl", "rights reserved", "redistribution", "permission", "proprietary", "nasa", "blessing", "commons", "mulan", "free software", "no attribution", "historical permission", "commercial use", "prohibited")
+GATE = ("license", "licence", "licensed", "licenced", "licenses", "licences", "copyright", "spdx", "public domain", "warranty", "cc", "cc0", "unlicense", "wtfpl", "rights reserved", "redistribution", "permission", "proprietary", "nasa", "blessing", "commons", "mulan", "free software", "no attribution", "historical permission", "commercial use", "noncommercial use", "prohibited")
 GRANT = "(?:licen[cs]ed|released|distributed|available|provided|published|covered|used|governed) (?:under|by)(?: the)?(?: terms(?: and conditions)? of)?(?: the)?"
 
 

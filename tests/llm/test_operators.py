@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from re import _parser
 
 import numpy as np
 import pytest
@@ -229,6 +230,38 @@ def test_licenses_equal_plain_python(spark, texts, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def alternatives(tree):
+    """One text for each way through an expression; a set of characters gives each of its first ones."""
+    out = [""]
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                some = [chr(arg)]
+            case "IN":
+                some = [chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in arg]
+            case "SUBPATTERN":
+                some = alternatives(arg[3])
+            case "BRANCH":
+                some = [x for branch in arg[1] for x in alternatives(branch)]
+            case "MAX_REPEAT":
+                low, high, sub = arg
+                some = [x * n for x in alternatives(sub) for n in sorted({low, high})]
+        out = [x + y for x in out for y in dict.fromkeys(some)]
+    return out
+
+
+def test_license_prefilter_loses_nothing(spark, monkeypatch):
+    names = [x for _, name, _ in licenses.FAMILIES.values() for x in alternatives(_parser.parse(name))]
+    texts = names + [f"licensed under {x}" for x in names] + [x for _, text, _ in licenses.TEXTS for x in alternatives(_parser.parse(text))]
+    texts += ["Unauthorized copying of this file is strictly prohibited", "Creative Commons Attribution-NonCommercial", "Creative Commons Attribution 4.0", "CC Attribution-Share Alike", "for noncommercial use only"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(table).drop("detections").collect()))
+    every = [(i, priority, "", pattern, label) for i, priority, _, pattern, label in licenses.rules()]
+    monkeypatch.setattr(licenses, "rules", lambda: every)
+    monkeypatch.setattr(licenses, "GATE", ("[^ ]+",))
+    assert got == sorted(map(tuple, licenses.scan(table).drop("detections").collect()))
+
+
 # ---- 6
 
 
