@@ -205,7 +205,17 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each class: the one whose id is the class's; a row of null id only where its class has no other."""
-    found = classes(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.alias("d").join(found.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Exactly one row of each class: the least id, null last; of one id the least hash of the text.
+
+    Id and hash of the text name a class, so the rows need not carry its root.
+    """
+    content = F.coalesce(F.col("text"), F.lit(""))
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(content).alias("hash"))
+    keyed = docs.select("doc_id", F.xxhash64(content).alias("hash"), content.cast("binary").alias("_raw"))
+    own = pinned(map_columns(keyed, ["doc_id", "hash"], "fp long", lambda batch: [[fingerprint(x) for x in batch.column("_raw").to_pylist()]]), "simhash-docs")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("first")
+    least = pinned(own.groupBy("fp").agg(first), "simhash-fps")
+    roots = connected_components(links(least.select("fp")))
+    chosen = least.join(roots, least["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.hash")
+    kept = boxed.alias("d").join(chosen.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.hash") == F.col("k.hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "hash"]).select("row.*")

@@ -387,6 +387,19 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.classes(none).count() == 0
 
 
+def test_near_duplicates_keep_one_row_of_each_class(spark):
+    rng = np.random.default_rng(5)
+    unlike = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 40)) for _ in range(60)]
+    rows = [(None, x) for x in unlike[:30]] + [(5, x) for x in unlike[30:50]] + [(5, unlike[50]), (6, unlike[50]), (None, unlike[50]), (4, unlike[51]), (None, unlike[51]), (7, unlike[31])]
+    rows += [(None, x) for x in unlike[:3]] + [(None, unlike[52])] * 3 + [(8, None), (8, ""), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("clash"))
+    for part in (docs, docs.orderBy(F.col("text").desc())):
+        kept = simhash.drop_near_duplicates(part)
+        assert kept.columns == docs.columns
+        got = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str)
+        assert got == sorted([(None, x) for x in unlike[:30]] + [(5, x) for x in unlike[30:51]] + [(4, unlike[51]), (None, unlike[52]), (8, "")], key=str)
+
+
 # ---- 9
 
 
