@@ -85,8 +85,11 @@ def answer_text(graph: Graph, steps: DataFrame, question: str, budget: int = 300
     return lines.select(text.alias("answer"))
 
 
-def shortest_path(graph: Graph, a: str, b: str, types=PATH_TYPES, most: int = 64) -> DataFrame:
-    """(source, target, hops): the first of the shortest paths between internal types; empty hops if none."""
+def shortest_path(graph: Graph, a: str, b: str, types=PATH_TYPES) -> DataFrame:
+    """(source, target, hops): the first of the shortest paths between internal types; empty hops if none.
+
+    Searches until the target is met or the frontier is empty, however far that is.
+    """
     spark = graph.nodes.sparkSession
     inside = graph.classes().select("fqn")
     links = graph.class_links().where(F.col("type").isin(*types)).select("a", "b")
@@ -94,7 +97,7 @@ def shortest_path(graph: Graph, a: str, b: str, types=PATH_TYPES, most: int = 64
     links = links.join(inside.select(F.col("fqn").alias("a")), "a", "left_semi").join(inside.select(F.col("fqn").alias("b")), "b", "left_semi")
     links = pinned(links, "path-links")
     seen = frontier = spark.createDataFrame([(a, [a])], "fqn string, hops array<string>")
-    for _ in range(most):
+    while True:
         if a == b or frontier.where(F.col("fqn") == b).limit(1).count():
             break
         step = frontier.join(links, frontier["fqn"] == links["a"]).select(F.col("b").alias("fqn"), F.concat("hops", F.array("b")).alias("hops"))

@@ -13,6 +13,7 @@ from codeweft.operators import setops as D
 from codeweft.operators import traverse as T
 from codeweft.operators import vectors as X
 from codeweft.plans import build as B
+from codeweft.plans import queries
 from codeweft.sources import files as F_
 from codeweft.sources.java import backend, extract_types, parse_source
 from codeweft.storage import load_version, pinned, save_version
@@ -133,6 +134,14 @@ def test_girvan_newman_splits_two_triangles(spark):
     assert order[:3] == ["a", "b", "c"]
 
 
+def test_registered_paths_have_no_bound(spark, monkeypatch):
+    names = "abcdefghijk"
+    nodes = spark.createDataFrame([(f"class:{n}", "INTERFACE", n, n, False, None, "PENDING") for n in names], "id string, kind string, fqn string, simple_name string, external boolean, community_id long, status string")
+    edges = spark.createDataFrame([("DEPENDS_ON", f"class:{x}", f"class:{y}", 3.0, "EXTRACTED", 1.0) for x, y in zip(names, names[1:])], "type string, from_id string, to_id string, weight double, provenance string, confidence_score double")
+    monkeypatch.setattr(queries, "commerce", lambda spark, sf: B.Graph(nodes, edges))
+    assert tuple(queries.QUERIES["gra5_shortest_path"](spark, "").first()) == ("a", "k", 11)
+
+
 def test_events(spark, zoo, tmp_path):
     start = save_version(zoo, str(tmp_path / "g"), 0)
     sig = "private void bark()"
