@@ -304,15 +304,92 @@ def test_lm_base_and_model(spark, texts):
     assert held[1] > held[0]
 
 
-def test_lm_is_a_distribution_and_blocks_do_not_matter(spark):
-    rows = [(i, " ".join(f"w{(i * j) % 13}" for j in range(1, 30))) for i in range(60)]
+class PlainModel:
+    """Deleted interpolation with dictionaries: counts of triples, pairs and words, buckets by context count, EM on a fold."""
+
+    def __init__(self, rows):
+        part = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in rows}
+        self.learned = [self.tokens(t) for i, t in rows if part[i] != 2]
+        fold = [self.tokens(t) for i, t in rows if part[i] == 0]
+        self.count(self.learned)
+        self.uniform = 1 / (len(self.one) + 1)
+        self.count([self.tokens(t) for i, t in rows if part[i] not in (0, 2)])
+        cells = collections.defaultdict(list)
+        for text in fold:
+            for u, v, w in self.triples(text):
+                bucket, p = self.parts(u, v, w)
+                cells[bucket].append([0 if not x else 2 ** (-round(-2 * math.log2(x)) / 2) for x in p[:3]] + [self.uniform])
+        self.shares = {}
+        for bucket, ps in cells.items():
+            w = self.normal(bucket, (0.4, 0.3, 0.2, 0.1))
+            for _ in range(60):
+                gained = [0.0] * 4
+                for p in ps:
+                    whole = sum(a * b for a, b in zip(w, p))
+                    gained = [g + a * b / whole for g, a, b in zip(gained, w, p)]
+                w = self.normal(bucket, [g + 1e-3 for g in gained])
+            self.shares[bucket] = w
+        self.count(self.learned)
+
+    @staticmethod
+    def tokens(text):
+        return WORD.findall((text or "").translate(LOWER)) + ["</s>"]
+
+    @staticmethod
+    def triples(text):
+        return zip(["<0>", "<1>", *text], ["<1>", *text], text)
+
+    def count(self, texts):
+        self.one, self.two, self.three = collections.Counter(), collections.Counter(), collections.Counter()
+        for t in texts:
+            for u, v, w in self.triples(t):
+                self.one[w] += 1
+                self.two[v, w] += 1
+                self.three[u, v, w] += 1
+        self.n, self.texts = sum(self.one.values()), len(texts)
+
+    def parts(self, u, v, w):
+        word = self.texts if v == "<1>" else self.one[v]
+        pair = self.texts if v == "<1>" else self.two[u, v]
+        bucket = ("pair", int(math.log2(pair))) if pair else ("word", int(math.log2(word))) if word else ("none", 0)
+        return bucket, [self.three[u, v, w] / max(1, pair), self.two[v, w] / max(1, word), self.one[w] / max(1, self.n), self.uniform]
+
+    @staticmethod
+    def normal(bucket, w):
+        some = {"pair": (1, 1, 1, 1), "word": (0, 1, 1, 1), "none": (0, 0, 1, 1)}[bucket[0]]
+        w = [a * b for a, b in zip(w, some)]
+        return [x / sum(w) for x in w]
+
+    def probability(self, u, v, w):
+        bucket, p = self.parts(u, v, w)
+        alike = [b for b in self.shares if b[0] == bucket[0]]
+        w = self.shares[min(alike, key=lambda b: (abs(b[1] - bucket[1]), b[1]))] if alike else self.normal(bucket, (0.4, 0.3, 0.2, 0.1))
+        return sum(a * b for a, b in zip(w, p))
+
+    def score(self, text):
+        return sum(math.log10(self.probability(*x)) for x in self.triples(self.tokens(text)))
+
+
+def test_lm_equals_plain_python_and_sums_to_one(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"W{min(int(x), 400)}" for x in rng.zipf(1.4, size=rng.integers(1, 60)))) for i in range(300)]
+    rows += [(900 + i, rows[7][1]) for i in range(12)] + [(950, None), (951, "never seen words at all")]
+    plain = PlainModel(rows)
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    one = {r["doc_id"]: r["score"] for r in lm.score(table).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score(table).collect()}
+    assert got == pytest.approx({i: plain.score(t) for i, t in rows})
     many = {r["doc_id"]: r["score"] for r in lm.score(table.repartition(4), block_bytes=200).collect()}
-    assert one == pytest.approx(many)
-    vocabulary = [*(f"w{i}" for i in range(13)), "never"]
-    more = spark.createDataFrame([*rows, *((1000 + i, f"w1 {w}") for i, w in enumerate(vocabulary))], "doc_id long, text string")
-    assert all(r["score"] <= 0 for r in lm.score(more).collect())
+    assert got == pytest.approx(many)
+    contexts = [("<0>", "<1>"), ("<1>", "w1"), ("w1", "w1"), ("w1", "w2"), ("w9", "w1"), ("w1", "none"), ("none", "w1"), ("none", "none")]
+    assert {plain.parts(u, v, "w1")[0][0] for u, v in contexts} == {"pair", "word", "none"}
+    for u, v in contexts:
+        assert sum(plain.probability(u, v, w) for w in [*plain.one, "unknown"]) == pytest.approx(1.0)
+
+
+def test_lm_without_training_rows_is_uniform(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = lm.score(spark.createDataFrame([(i, "some words") for i in held], "doc_id long, text string")).collect()
+    assert got and all((r["score"], r["base_score"], r["train_tokens"]) == (0.0, 0.0, 0) for r in got)
 
 
 def test_lm_odd_rows(odd, none):
