@@ -35,8 +35,8 @@ class Graph:
         return self.edges.where(F.col("from_id").startswith("class:") & F.col("to_id").startswith("class:"))
 
     def class_links(self) -> DataFrame:
-        """Class edges with FQNs: type, a, b, weight, provenance."""
-        return self.class_edges().select("type", F.substr("from_id", F.lit(7)).alias("a"), F.substr("to_id", F.lit(7)).alias("b"), "weight", "provenance")
+        """Class edges with FQNs: type, a, b, weight, provenance, confidence_score."""
+        return self.class_edges().select("type", F.substr("from_id", F.lit(7)).alias("a"), F.substr("to_id", F.lit(7)).alias("b"), "weight", "provenance", "confidence_score")
 
     def neighbours(self, types) -> DataFrame:
         """Undirected neighbours of classes by edges of ``types``: (fqn, type, other); technologies stay ids, as leaves."""

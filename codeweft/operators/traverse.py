@@ -14,12 +14,12 @@ from ..storage import pinned
 
 def k_hops(graph: Graph, starts: DataFrame, depth: int, types=TRAVERSAL_TYPES) -> DataFrame:
     """(start, fqn, depth) of all that is within ``depth`` undirected hops of each start; starts left out."""
-    near = graph.neighbours(types).select("fqn", "other").distinct()
+    near = pinned(graph.neighbours(types).select("fqn", "other").distinct(), "hops-near")
     seen = starts.select(F.col("fqn").alias("start"), "fqn", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for d in range(1, depth + 1):
         step = frontier.join(near, "fqn").select("start", F.col("other").alias("fqn")).distinct().join(seen.select("start", "fqn"), ["start", "fqn"], "left_anti")
-        frontier = step.withColumn("depth", F.lit(d))
+        frontier = pinned(step.withColumn("depth", F.lit(d)), "hops-frontier")
         seen = seen.union(frontier)
     return seen.where("depth > 0")
 
@@ -35,13 +35,14 @@ def breadth_first(graph: Graph, seeds: DataFrame, depth: int = 3, types=TRAVERSA
     ``place`` is the array of steps from the seed; arrays of one length compare in the order in which a
     queue would visit, so the first parent is a minimum and no global ranking is needed.
     """
-    near = graph.neighbours(types)
+    near = pinned(graph.neighbours(types), "steps-near")
     first = seeds.select("fqn", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("from_fqn"), F.lit(None).cast("string").alias("via"), F.array(F.lpad(F.col("rank").cast("string"), 6, "0")).alias("place"))
     seen, frontier = first, first
     for d in range(1, depth + 1):
         step = frontier.select("fqn", "place").join(near, "fqn").select(F.col("other").alias("to"), F.concat("place", F.array(_step_key(types))).alias("place"), F.col("fqn").alias("from_fqn"), F.col("type").alias("via"))
         best = step.groupBy("to").agg(F.min(F.struct("place", "from_fqn", "via")).alias("best"))
-        frontier = best.select(F.col("to").alias("fqn"), F.lit(d).alias("depth"), "best.from_fqn", "best.via", "best.place").join(seen.select("fqn"), "fqn", "left_anti")
+        found = best.select(F.col("to").alias("fqn"), F.lit(d).alias("depth"), "best.from_fqn", "best.via", "best.place")
+        frontier = pinned(found.join(seen.select("fqn"), "fqn", "left_anti"), "steps-frontier")
         seen = seen.unionByName(frontier)
     return seen
 

@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cosine
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.8, blocks: int = 16) -> DataFrame:
+#: Vectors of a block of ``similar_pairs``, and rows of a block that are scored at once.
+BLOCK_ROWS, SLICE_ROWS = 4_096, 512
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, score) of all pairs of rows (fqn, vector) with a < b at or above the threshold.
 
-    All vectors meet all vectors in square blocks: each row is sent to the ``blocks`` block pairs of its
-    own block, and a task multiplies two blocks of unit vectors. ``blocks`` grows with the table, so that
-    a block stays small; only pairs over the threshold leave a task.
+    All vectors meet all vectors in square blocks of about ``block_rows``: each row is sent to the block
+    pairs of its own block, and a task multiplies two blocks of unit vectors, some rows at a time. Only
+    pairs over the threshold leave a task.
     """
+    blocks = max(1, -(-vectors.count() // block_rows))
     rows = vectors.where(F.size("vector") > 0).select("fqn", "vector", F.pmod(F.xxhash64("fqn"), F.lit(blocks)).alias("block"))
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     spread = spread.select("fqn", "vector", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
@@ -30,9 +35,13 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.8, blocks: int = 16)
         names, first = data["fqn"].to_numpy(), (data["block"] == data["x"]).to_numpy()
         same = data["x"].iloc[0] == data["y"].iloc[0]
         left, right = (np.arange(len(data)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
-        scores = unit[left] @ unit[right].T
-        i, j = np.nonzero(scores >= threshold)
-        a, b, s = names[left[i]], names[right[j]], scores[i, j]
+        found = []
+        for lo in range(0, len(left), SLICE_ROWS):
+            scores = unit[left[lo : lo + SLICE_ROWS]] @ unit[right].T
+            i, j = np.nonzero(scores >= threshold)
+            found.append((left[lo + i], right[j], scores[i, j]))
+        i, j, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        a, b = names[i], names[j]
         keep = a < b if same else a != b
         low = np.where(a < b, a, b)[keep]
         return pd.DataFrame({"a": low, "b": np.where(a < b, b, a)[keep], "score": s[keep]})
@@ -65,11 +74,16 @@ def alike_shapes(types: DataFrame) -> DataFrame:
     return t.alias("a").join(t.alias("b"), (F.col("a.kind") == F.col("b.kind")) & (F.col("a.method_count") == F.col("b.method_count")) & (F.col("a.fqn") < F.col("b.fqn"))).select(F.col("a.fqn").alias("a"), F.col("b.fqn").alias("b"), F.lit(0.5).alias("weight"), F.lit(0.65).alias("confidence_score"))
 
 
-def search(vectors: DataFrame, query: list[float], limit: int = 5, least: float = 0.65) -> DataFrame:
-    """Types by their best vector's cosine with the query: (fqn, score)."""
+def best_scores(vectors: DataFrame, query: list[float], least: float = 0.65) -> DataFrame:
+    """(fqn, score): the best cosine with the query of each type's vectors, at ``least`` or above."""
     wanted = F.array(*[F.lit(float(x)) for x in query])
     scored = vectors.where(F.size("vector") > 0).select("fqn", cosine(F.col("vector"), wanted).alias("score")).where(F.col("score") >= least)
-    return scored.groupBy("fqn").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "fqn").limit(max(1, limit))
+    return scored.groupBy("fqn").agg(F.max("score").alias("score"))
+
+
+def search(vectors: DataFrame, query: list[float], limit: int = 5, least: float = 0.65) -> DataFrame:
+    """The ``limit`` types with the best scores, in order."""
+    return best_scores(vectors, query, least).orderBy(F.col("score").desc(), "fqn").limit(max(1, limit))
 
 
 def hashing_vectors(texts: DataFrame, width: int = 64) -> DataFrame:

@@ -43,7 +43,7 @@ def commerce(spark: SparkSession, sf_dir: str) -> Graph:
     methods = orders.join(customers, F.col("o_custkey") == F.col("key")).select(
         "fqn", F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("string").alias("signature"), F.col("o_orderstatus").alias("return_type"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("raw_body"), F.array("o_orderpriority").alias("calls")
     )
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
 
     def edges(rows: DataFrame, kind: str, a, b, weight: float) -> DataFrame:
         return rows.select(F.lit(kind).alias("type"), a.alias("from_id"), b.alias("to_id"), F.lit(weight).alias("weight"), F.lit("EXTRACTED").alias("provenance"), F.lit(1.0).alias("confidence_score"))
@@ -87,7 +87,7 @@ sides AS (
   SELECT 'c' AS side, c_custkey AS key, ns || '.' || replace(c_name, '#', '_') AS fqn, ns, replace(c_name, '#', '_') AS simple_name, c_acctbal < 0 AS external, 'CLASS' AS kind, CAST(n_nationkey AS BIGINT) AS community_id, c_mktsegment AS segment FROM customer JOIN geo ON c_nationkey = n_nationkey
   UNION ALL SELECT 's', s_suppkey, ns || '.' || replace(s_name, '#', '_'), ns, replace(s_name, '#', '_'), s_acctbal < 0, 'INTERFACE', CAST(n_nationkey AS BIGINT), NULL FROM supplier JOIN geo ON s_nationkey = n_nationkey),
 methods AS (SELECT fqn, o_orderpriority AS name, CAST(o_orderkey AS VARCHAR) AS signature, o_orderstatus AS return_type, 'order ' || CAST(o_orderkey AS VARCHAR) AS raw_body FROM orders JOIN sides ON side = 'c' AND o_custkey = key),
-lines AS (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_quantity = 50),
+lines AS (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem),
 bought AS (SELECT DISTINCT c.fqn AS a, s.fqn AS b FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN sides c ON c.side = 'c' AND c.key = o_custkey JOIN sides s ON s.side = 's' AND s.key = l_suppkey),
 used AS (SELECT DISTINCT s.fqn, p_brand FROM lines JOIN part ON l_partkey = p_partkey JOIN sides s ON s.side = 's' AND s.key = l_suppkey),
 raw_edges AS (

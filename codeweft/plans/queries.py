@@ -114,10 +114,11 @@ def prj4(spark, sf):
     return L.community_members(commerce(spark, sf), 3)
 
 
-@query("prj5_cluster_sizes", "SELECT community_id, count(*) AS members FROM nodes WHERE starts_with(id, 'class:') AND community_id IS NOT NULL GROUP BY 1")
+@query("prj5_cluster_json", """WITH m AS (SELECT fqn, '"' || string_agg(signature, '","' ORDER BY signature) || '"' AS signatures FROM methods GROUP BY 1)
+SELECT community_id, '[' || string_agg('{"fqn":"' || n.fqn || '","simpleName":"' || simple_name || '","kind":"' || kind || '","status":"' || status || '","methods":[' || coalesce(signatures, '') || ']}', ',' ORDER BY n.fqn) || ']' AS json
+FROM nodes n LEFT JOIN m ON m.fqn = n.fqn WHERE starts_with(id, 'class:') AND community_id IS NOT NULL GROUP BY 1""")
 def prj5(spark, sf):
-    item = "array<struct<fqn:string,simpleName:string,kind:string,status:string,methods:array<string>>>"
-    return L.cluster_json(commerce(spark, sf)).select("community_id", F.size(F.from_json("json", item)).cast("long").alias("members"))
+    return L.cluster_json(commerce(spark, sf)).select("community_id", "json")
 
 
 @query("prj6_method_context", """
@@ -264,9 +265,17 @@ def agg5(spark, sf):
     return A.technology_uses(commerce(spark, sf))
 
 
-@query("agg6_kinds", "SELECT count(*) AS types, count(*) FILTER (kind = 'CLASS') AS class, count(*) FILTER (kind = 'INTERFACE') AS interface FROM sides")
+@query("agg6_build_summary", """SELECT (SELECT count(*) FROM sides) AS types, (SELECT count(*) FROM sides WHERE kind = 'CLASS') AS class, (SELECT count(*) FROM sides WHERE kind = 'INTERFACE') AS interface, CAST(0 AS BIGINT) AS enum, CAST(0 AS BIGINT) AS record, CAST(0 AS BIGINT) AS annotation,
+  (SELECT count(*) FROM methods) AS methods, (SELECT count(*) FROM sides) AS fields, (SELECT count(*) FROM bought) AS imports, CAST(0 AS BIGINT) AS annotations, CAST(0 AS BIGINT) AS enum_constants, CAST(0 AS BIGINT) AS record_components, (SELECT count(*) FROM methods WHERE return_type = 'F') AS constructors""")
 def agg6(spark, sf):
-    return parties(spark, sf).agg(F.count(F.lit(1)).alias("types"), F.count_if(F.col("kind") == "CLASS").alias("class"), F.count_if(F.col("kind") == "INTERFACE").alias("interface"))
+    """Types with their orders as methods (finished ones as constructors), a field each, and what they buy from as imports."""
+    g = commerce(spark, sf)
+    methods = g.methods.groupBy("fqn").agg(F.collect_list(F.struct("signature", (F.col("return_type") == "F").alias("constructor"))).alias("methods"))
+    imports = g.class_links().where("type = 'DEPENDS_ON'").groupBy(F.col("a").alias("fqn")).agg(F.collect_set("b").alias("imports"))
+    none = F.array().cast("array<string>")
+    rows = parties(spark, sf).select("fqn", "kind", F.array("simple_name").alias("fields")).join(methods, "fqn", "left").join(imports, "fqn", "left")
+    filled = rows.withColumns({"methods": F.coalesce("methods", F.array().cast("array<struct<signature:string,constructor:boolean>>")), "imports": F.coalesce("imports", none), "annotations": none, "enum_constants": none, "record_components": none})
+    return A.build_summary(filled).select(*[F.col(c).cast("long").alias(c) for c in ("types", "class", "interface", "enum", "record", "annotation", "methods", "fields", "imports", "annotations", "enum_constants", "record_components", "constructors")])
 
 
 @query("agg8_degrees", """
@@ -341,13 +350,7 @@ def _first_vector(spark, sf) -> list[float]:
 @query("agg16_best_of_class", VECTOR_SQL + "SELECT CAST(label AS VARCHAR) AS fqn, round(max(s), 4) AS score FROM s GROUP BY 1", graph=False)
 def agg16(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("fqn"), F.col("embedding").alias("vector"))
-    return V.search(v, _first_vector(spark, sf), 1_000, -1.0).select("fqn", F.round("score", 4).alias("score"))
-
-
-@query("agg17_token_benchmark", "SELECT CAST(floor(sum(length(text)) / 4) AS BIGINT) AS raw_tokens, CAST(sum(floor(length(substr(text, 1, 400)) / 4)) AS BIGINT) AS context_tokens FROM documents", graph=False)
-def agg17(spark, sf):
-    d = table(spark, sf, "documents")
-    return A.token_benchmark(F.col("text"), F.substring("text", 1, 400), d).select("raw_tokens", F.col("context_tokens").cast("long").alias("context_tokens"))
+    return V.best_scores(v, _first_vector(spark, sf), -1.0).select("fqn", F.round("score", 4).alias("score"))
 
 
 @query("agg18_compare_backends", "SELECT (SELECT count(*) FROM sides) AS left_types, (SELECT count(*) FROM classes) AS right_types, (SELECT count(*) FROM sides WHERE external) AS only_left")
@@ -384,7 +387,13 @@ def top5(spark, sf):
     return X.budget_prefix(c, ["conv_id"], ["turn"], "tokens", F.lit(60)).select("conv_id", "turn", "running")
 
 
-@query("top6_questions")
+@query("top6_questions", """WITH b AS (SELECT a, b FROM class_links UNION SELECT b, a FROM class_links),
+d AS (SELECT b.a AS fqn, count(*) AS degree FROM b JOIN classes x ON x.fqn = b.a JOIN classes y ON y.fqn = b.b GROUP BY 1),
+hub AS (SELECT split_part(c.fqn, '.', -1) AS label FROM classes c LEFT JOIN d ON d.fqn = c.fqn ORDER BY coalesce(degree, 0) DESC, c.fqn LIMIT 1),
+odd AS (SELECT l.a, l.b FROM class_links l LEFT JOIN classes x ON x.fqn = l.a LEFT JOIN classes y ON y.fqn = l.b WHERE x.community_id <> y.community_id ORDER BY CASE WHEN l.type IN ('DEPENDS_ON', 'IMPLEMENTS') THEN 0 ELSE 1 END, l.a, l.b, l.type LIMIT 1)
+SELECT CAST(1 AS INTEGER) AS rank, 'What depends on ' || label || ' and why is it a hub?' AS question FROM hub UNION ALL SELECT 2, 'Why does ' || split_part(a, '.', -1) || ' connect to ' || split_part(b, '.', -1) || ' across communities?' FROM odd
+UNION ALL SELECT 3, 'Which types bridge the ' || CAST(n AS VARCHAR) || ' detected communities?' FROM (SELECT count(DISTINCT community_id) AS n FROM nodes WHERE starts_with(id, 'class:')) WHERE n > 1
+UNION ALL SELECT 4, 'What are the strongest DEPENDS_ON chains in this codebase?' UNION ALL SELECT 5, 'Which interfaces are implemented by multiple unrelated classes?'""")
 def top6(spark, sf):
     return A.suggested_questions(commerce(spark, sf))
 
@@ -494,7 +503,12 @@ def gra3(spark, sf):
     return T.depth_first(g, _seed(g), 3, ("DEPENDS_ON", "EXTENDS"))
 
 
-@query("gra4_answer")
+@query("gra4_answer", """WITH s AS (SELECT min(fqn) AS fqn FROM classes WHERE kind = 'INTERFACE'), n2 AS (SELECT *, CASE type WHEN 'DEPENDS_ON' THEN 0 WHEN 'CALLS' THEN 1 WHEN 'EXTENDS' THEN 2 WHEN 'IMPLEMENTS' THEN 3 WHEN 'USES' THEN 4 ELSE 5 END AS o FROM near WHERE fqn <> other),
+b1 AS (SELECT * FROM (SELECT other AS fqn, s.fqn AS from_fqn, type AS via, o, row_number() OVER (PARTITION BY other ORDER BY o) AS k FROM s JOIN n2 ON n2.fqn = s.fqn) WHERE k = 1),
+steps AS (SELECT fqn, 0 AS depth, CAST(NULL AS VARCHAR) AS from_fqn, CAST(NULL AS VARCHAR) AS via, 0 AS o FROM s UNION ALL SELECT fqn, 1, from_fqn, via, o FROM b1),
+others AS (SELECT fqn, string_agg('    → ' || other || chr(10), '' ORDER BY other) AS l FROM (SELECT DISTINCT fqn, other FROM n2) GROUP BY 1),
+said AS (SELECT depth, o, t.fqn, '- [depth ' || CAST(depth AS VARCHAR) || '] ' || t.fqn || CASE WHEN via IS NULL THEN '' ELSE ' (via ' || via || ' from ' || from_fqn || ')' END || chr(10) || coalesce(l, '') AS line FROM steps t LEFT JOIN others ON others.fqn = t.fqn)
+SELECT substr('Query: what depends on it' || chr(10) || chr(10) || string_agg(line, '' ORDER BY depth, o, fqn), 1, 800) AS answer FROM said""")
 def gra4(spark, sf):
     g = commerce(spark, sf)
     steps = T.breadth_first(g, _one(spark, "fqn string, rank int", (_seed(g), 1)), 1)
@@ -534,9 +548,14 @@ s{i} AS (SELECT fqn, label, sum(weight) AS w FROM v{i} GROUP BY 1, 2),
 l{i} AS (SELECT fqn, label FROM (SELECT *, row_number() OVER (PARTITION BY fqn ORDER BY w DESC, label) AS r FROM s{i}) WHERE r = 1)"""
 
 
-@query("gra8_label_propagation", WEIGHTS + ", lx AS (SELECT a, b, weight FROM pw UNION ALL SELECT b, a, weight FROM pw), li AS (SELECT lx.a, lx.b, weight FROM lx JOIN classes x ON x.fqn = lx.a JOIN classes y ON y.fqn = lx.b), l0 AS (SELECT fqn, fqn AS label FROM classes), " + ", ".join(_round(i) for i in (1, 2, 3)) + " SELECT fqn, label FROM l3")
+@query("gra8_label_rounds", WEIGHTS + ", lx AS (SELECT a, b, weight FROM pw UNION ALL SELECT b, a, weight FROM pw), li AS (SELECT lx.a, lx.b, weight FROM lx JOIN classes x ON x.fqn = lx.a JOIN classes y ON y.fqn = lx.b), l0 AS (SELECT fqn, fqn AS label FROM classes), " + ", ".join(_round(i) for i in (1, 2, 3)) + " SELECT fqn, label FROM l3")
+def gra8_rounds(spark, sf):
+    return C.propagate_rounds(commerce(spark, sf), 3)
+
+
+@query("gra8_label_propagation")
 def gra8(spark, sf):
-    return C.label_propagation(commerce(spark, sf), 3, until_stable=False)
+    return C.label_propagation(commerce(spark, sf))
 
 
 @query("gra10_assigned", "WITH m AS (SELECT community_id, min(fqn) AS least FROM classes GROUP BY 1), r AS (SELECT community_id, row_number() OVER (ORDER BY least) - 1 AS new_id FROM m) SELECT fqn, new_id AS community_id FROM classes JOIN r ON r.community_id = classes.community_id")
@@ -678,30 +697,57 @@ def mut5(spark, sf):
 # ---- contexts and exports
 
 
-@query("ctx1_method_context")
+def context_sql(budget: int) -> str:
+    """Contexts of all methods: head, then the skeletons of neighbours while they fit."""
+    return f"""WITH called AS (SELECT x.fqn, x.signature, string_agg('{{"n":"' || y.name || '","sig":"' || y.signature || '"}}', ',' ORDER BY y.signature) AS c FROM methods x JOIN methods y ON x.fqn = y.fqn AND x.name = y.name GROUP BY 1, 2),
+heads AS (SELECT m.fqn, m.signature, m.raw_body, '{{"t":"surgical","tgt":{{"fqn":"' || m.fqn || '","m":"' || name || '","sig":"' || m.signature || '","body":"' || raw_body || '","calls":[' || c || ']}}' AS head FROM methods m JOIN called c ON c.fqn = m.fqn AND c.signature = m.signature),
+sized AS (SELECT *, (length(head) + 1) // 4 AS used FROM heads),
+listed AS (SELECT fqn, '"' || string_agg(signature, '","' ORDER BY signature) || '"' AS l FROM methods GROUP BY 1),
+skeleton AS (SELECT n.fqn, '{{"fqn":"' || n.fqn || '","cls":"' || simple_name || '","methods":[' || coalesce(l, '') || ']}}' AS s FROM nodes n LEFT JOIN listed ON listed.fqn = n.fqn WHERE starts_with(id, 'class:')),
+shown AS (SELECT near1.fqn, other, s, length(s) // 4 AS tokens, sum(length(s) // 4) OVER (PARTITION BY near1.fqn ORDER BY other ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT DISTINCT fqn, other FROM near WHERE type IN ('DEPENDS_ON', 'CALLS', 'EXTENDS', 'IMPLEMENTS') AND fqn <> other) near1 JOIN skeleton ON skeleton.fqn = other),
+contexts AS (SELECT z.fqn, z.signature AS wanted, any_value(raw_body) AS raw_body, any_value(head) || ',"nbr":[' || coalesce(string_agg('"' || replace(s, '"', '\\"') || '"', ',' ORDER BY other), '') || ']}}' AS context,
+  CAST(any_value(used) + coalesce(sum(tokens), 0) AS BIGINT) AS tokens, z.fqn || coalesce(',' || string_agg(other, ',' ORDER BY other), '') AS included FROM sized z LEFT JOIN shown ON shown.fqn = z.fqn AND running <= {budget} - used GROUP BY z.fqn, z.signature) """
+
+
+def _contexts(spark, sf, budget):
+    g = commerce(spark, sf)
+    return X.method_contexts(g, g.methods.select("fqn", F.col("signature").alias("wanted")), budget).withColumn("included", F.array_join("included", ","))
+
+
+@query("ctx1_method_context", context_sql(200) + "SELECT fqn, wanted, context, tokens, included FROM contexts")
 def ctx1(spark, sf):
+    return _contexts(spark, sf, 200)
+
+
+@query("agg17_token_benchmark", context_sql(500) + "SELECT CAST(floor(sum(length(raw_body)) / 4) AS BIGINT) AS raw_tokens, CAST(sum(length(context) // 4) AS BIGINT) AS context_tokens FROM contexts")
+def agg17(spark, sf):
     g = commerce(spark, sf)
-    return X.method_contexts(g, g.methods.select("fqn", F.col("signature").alias("wanted")), 200)
+    rows = _contexts(spark, sf, 500).join(g.methods.select("fqn", F.col("signature").alias("wanted"), "raw_body"), ["fqn", "wanted"])
+    return A.token_benchmark(F.col("raw_body"), F.col("context"), rows).select("raw_tokens", F.col("context_tokens").cast("long").alias("context_tokens"))
 
 
-@query("ctx2_class_context", "SELECT fqn FROM classes")
+@query("ctx2_class_context", """WITH m AS (SELECT fqn, string_agg('{"signature":"' || signature || '","name":"' || name || '","return_type":"' || return_type || '","raw_body":"' || raw_body || '"}', ',' ORDER BY signature) AS body FROM methods GROUP BY 1),
+t AS (SELECT c.fqn, '{"t":"class_wide","c":' || CAST(community_id AS VARCHAR) || ',"metadata":{"class_name":"' || simple_name || '","fqn":"' || c.fqn || '"}' || coalesce(',"methods":[' || body || ']', '') || '}' AS context FROM classes c LEFT JOIN m ON m.fqn = c.fqn)
+SELECT fqn, context, CAST(least(3000, greatest(1, length(context) // 4)) AS BIGINT) AS tokens FROM t""")
 def ctx2(spark, sf):
     g = commerce(spark, sf)
-    return X.class_contexts(g, g.classes().select("fqn")).where(F.col("context").isNotNull()).select("fqn")
+    return X.class_contexts(g, g.classes().select("fqn"))
 
 
-@query("ctx3_surgical_context")
+@query("ctx3_surgical_context", context_sql(1_000_000_000) + "SELECT fqn, wanted, context, tokens, included FROM contexts")
 def ctx3(spark, sf):
-    g = commerce(spark, sf)
-    return X.method_contexts(g, g.methods.select("fqn", F.col("signature").alias("wanted")), None)
+    return _contexts(spark, sf, None)
 
 
-@query("snk12_graph_json", "SELECT CAST(count(*) AS BIGINT) AS lines FROM (SELECT fqn FROM classes UNION ALL SELECT a FROM class_links)")
+@query("snk12_graph_json", """WITH e AS (SELECT *, row_number() OVER (ORDER BY type, a, b) AS i FROM class_links), n AS (SELECT *, row_number() OVER (ORDER BY fqn) AS i FROM classes)
+SELECT '{"nodes":[' AS line UNION ALL SELECT '],"edges":[' UNION ALL SELECT ']}'
+UNION ALL SELECT CASE WHEN i = 1 THEN '' ELSE ',' END || '{"id":"' || fqn || '","label":"' || simple_name || '","community":' || CAST(community_id AS VARCHAR) || '}' FROM n
+UNION ALL SELECT CASE WHEN i = 1 THEN '' ELSE ',' END || '{"source":"' || a || '","target":"' || b || '","type":"' || type || '","provenance":"EXTRACTED","confidence":1.0}' FROM e""")
 def snk12(spark, sf):
-    return E.graph_json(commerce(spark, sf)).agg(F.count(F.lit(1)).alias("lines"))
+    return E.graph_json(commerce(spark, sf)).select("line")
 
 
-@query("snk13_graph_html", "SELECT fqn AS at, 'nodes.add({id:''' || fqn || ''',label:''' || simple_name || ''',color:''' || ['#4e79a7', '#f28e2b', '#e15759', '#76b7b2', '#59a14f', '#edc948', '#b07aa1', '#ff9da7'][community_id % 8 + 1] || '''});' AS line FROM classes")
+@query("snk13_graph_html_nodes", "SELECT fqn AS at, 'nodes.add({id:''' || fqn || ''',label:''' || simple_name || ''',color:''' || ['#4e79a7', '#f28e2b', '#e15759', '#76b7b2', '#59a14f', '#edc948', '#b07aa1', '#ff9da7'][community_id % 8 + 1] || '''});' AS line FROM classes")
 def snk13(spark, sf):
     return E.graph_html(commerce(spark, sf)).where("part = 1").select("at", "line")
 

@@ -43,3 +43,21 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1
+
+
+def test_labels_are_stable_and_stay_within_links(spark):
+    from codeweft.graph import Graph
+    from codeweft.operators.community import label_propagation
+
+    links = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("c", "x"), ("y", "z"), ("x", "z"), ("p", "q")]
+    nodes = spark.createDataFrame([(f"class:{n}", "CLASS", n, n, False, None, "PENDING") for n in "abcxyzpqs"], "id string, kind string, fqn string, simple_name string, external boolean, community_id long, status string")
+    edges = spark.createDataFrame([("DEPENDS_ON", f"class:{a}", f"class:{b}", 3.0, "EXTRACTED", 1.0) for a, b in links], "type string, from_id string, to_id string, weight double, provenance string, confidence_score double")
+    label = {r["fqn"]: r["label"] for r in label_propagation(Graph(nodes, edges)).collect()}
+    assert set(label) == set("abcxyzpqs") and label["s"] == "s" and label["p"] == label["q"] and not {label["p"], label["s"]} & {label[n] for n in "abcxyz"}
+    for node in label:  # no type would change: the most weight is on its own label, ties to the least
+        votes = {label[node]: 1.0}
+        for a, b in links:
+            for one, other in ((a, b), (b, a)):
+                if one == node:
+                    votes[label[other]] = votes.get(label[other], 0.0) + 3.0
+        assert label[node] == min(votes, key=lambda x: (-votes[x], x))
