@@ -134,39 +134,86 @@ def rules() -> list[tuple[int, int, str, str, str]]:
     found += [(90, keyword, f"{GRANT} {name}", label) for label, (keyword, name, _) in FAMILIES.items()]
     found += [(80, keyword, text, label) for keyword, text, label in TEXTS]
     found += [(60, keyword, name, label) for label, (keyword, name, _) in FAMILIES.items()]
-    return [(i, priority, keyword, f" (?:{text})(?= )", label) for i, (priority, keyword, text, label) in enumerate(found)]
+    return [(i, priority, keyword, f" ({text})(?= )", label) for i, (priority, keyword, text, label) in enumerate(found)]
 
 
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+DETECTION = "array<struct<first:int,last:int,priority:int,rank:int,label:string>>"
+#: Marks around a match; no word holds them.
+OPEN, CLOSE = "\x01", "\x02"
+
+
+def most_words() -> int:
+    """Words that a match can have at most: no expression repeats a space."""
+    return max(pattern.count(" ") for _, _, _, pattern, _ in rules())
+
+
 def _detections(norm: Column) -> Column:
-    """array<struct<first,last,priority,rank,label>> of all rules whose keyword occurs."""
+    """array<struct<first,last,priority,rank,label>> of all rules whose keyword occurs.
+
+    Matches are marked in the text, so their places are those of the marked words: linear in the text.
+    """
     literal = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern"), F.lit(label).alias("label")) for i, p, k, x, label in rules()])
 
+    def places(words: Column, marked) -> Column:
+        return F.array_compact(F.transform(words, lambda w, i: F.when(marked(w), i)))
+
+    def of_words(rule: Column, words: Column) -> Column:
+        pairs = F.arrays_zip(places(words, lambda w: F.startswith(w, F.lit(OPEN))).alias("a"), places(words, lambda w: F.endswith(w, F.lit(CLOSE))).alias("b"))
+        return F.transform(pairs, lambda p: F.struct((p["a"] - 1).cast("int").alias("first"), (p["b"] - 1).cast("int").alias("last"), rule["priority"].alias("priority"), rule["rank"].alias("rank"), rule["label"].alias("label")))
+
     def of_rule(rule: Column) -> Column:
-        hits = F.transform(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), _spaces)
-        gaps = F.transform(F.split(norm, rule["pattern"], -1), _spaces)
-        steps = F.zip_with(hits, F.slice(gaps, F.lit(1), F.greatest(F.size(hits), F.lit(0))), lambda words, gap: F.struct(gap.alias("gap"), words.alias("words")))
-        empty = F.lit(None).cast("array<struct<first:int,last:int,priority:int,rank:int,label:string>>")
-        start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<first:int,last:int,priority:int,rank:int,label:string>>")).alias("out"))
+        marked = F.split(F.regexp_replace(norm, rule["pattern"], F.lit(f" {OPEN}$1{CLOSE}")), " ", -1)
+        return F.flatten(F.transform(F.array(marked), lambda words: of_words(rule, words)))
 
-        def add(acc, s):
-            at = (acc["at"] + s["gap"]).cast("int")
-            one = F.struct(at.alias("first"), (at + s["words"] - 1).cast("int").alias("last"), rule["priority"].alias("priority"), rule["rank"].alias("rank"), rule["label"].alias("label"))
-            return F.struct((at + s["words"]).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    empty = F.array().cast(DETECTION)
+    return F.flatten(F.transform(F.filter(literal, lambda rule: F.contains(norm, F.concat(F.lit(" "), rule["keyword"]))), lambda rule: F.when(F.rlike(norm, rule["pattern"]), of_rule(rule)).otherwise(empty)))
 
-        return F.aggregate(steps, start, add, lambda acc: acc["out"])
 
-    return F.flatten(F.transform(F.filter(literal, lambda rule: F.contains(norm, F.concat(F.lit(" "), rule["keyword"]))), of_rule))
+#: Detections that are looked back at, if no more lie within a match's length; else all that can.
+NEAR_DETECTIONS = 64
+#: Detections of a block.
+BLOCK = 256
 
 
 def _survivors(found: Column) -> Column:
+    """Detections that lie in none of a higher key.
+
+    Sorted by start, then by falling end and key, whatever holds a detection stands before it and starts less
+    than the longest match earlier, so a detection looks back only at a bounded number of others.
+    """
+    reach = most_words()
+    order = F.sort_array(F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("less"), (-d["priority"]).alias("low"), d["rank"].alias("rank"), d["label"].alias("label"))))
+
     def key(d):
-        return F.struct(d["priority"], d["last"] - d["first"], -d["rank"])
+        return F.struct(-d["low"], -d["less"] - d["first"], -d["rank"])
+
+    def stays(all_: Column, back: Column):
+        # A slice copies its whole array, so the array is cut into blocks, each with what it looks back at.
+        def of_block(b: Column) -> Column:
+            before = F.least(back, b * BLOCK)
+            return F.flatten(F.transform(F.array(F.slice(all_, b * BLOCK - before + 1, before + BLOCK)), lambda block: of_slice(block, before)))
+
+        def of_slice(block: Column, before: Column) -> Column:
+            def one(x, i):
+                start = F.greatest(F.lit(0), i - back)
+                return (i >= before) & ~F.exists(F.slice(block, start + 1, i - start), lambda y: (y["less"] <= x["less"]) & (key(y) > key(x)))
+
+            return F.filter(block, one)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), of_block))
+
+    def of(all_: Column) -> Column:
+        close = F.forall(F.transform(all_, lambda x, i: (i < NEAR_DETECTIONS) | (x["first"] - F.get(all_, i - NEAR_DETECTIONS)["first"] > reach)), lambda ok: ok)
+        back = F.when(close, NEAR_DETECTIONS).otherwise(len(rules()) * (reach + 1))
+        # Bound as a variable, so that it is worked out once and not for each detection.
+        return F.flatten(F.transform(F.array(back), lambda n: stays(all_, n)))
 
-    return F.filter(found, lambda x: ~F.exists(found, lambda y: (y["first"] <= x["first"]) & (y["last"] >= x["last"]) & (key(y) > key(x))))
+    kept = F.flatten(F.transform(F.array(order), of))
+    return F.transform(kept, lambda d: F.struct(d["first"].alias("first"), (-d["less"]).alias("last"), (-d["low"]).alias("priority"), d["rank"].alias("rank"), d["label"].alias("label")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +227,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumns({f"n_{label}": n for label, n in counts.items()})
     firsts = [F.when(F.col(f"n_{label}") > 0, _spaces(F.substring_index(norm, f" {phrase} ", 1))) for phrase, label in BASE.items()]
     lasts = [F.when(F.col(f"n_{label}") > 0, F.col("n_words") - _spaces(F.substring_index(norm, f" {phrase} ", -1)) - len(phrase.split())) for phrase, label in BASE.items()]
-    empty = F.array().cast("array<struct<first:int,last:int,priority:int,rank:int,label:string>>")
+    empty = F.array().cast(DETECTION)
     rows = rows.withColumn("all_detections", F.when(F.col("gated"), _detections(norm)).otherwise(empty))
     rows = rows.withColumn("detections", F.when(F.size("all_detections") > 0, _survivors(F.col("all_detections"))).otherwise(empty))
     base = F.array_compact(F.array(*[F.when(F.col(f"n_{label}") > 0, F.lit(label)) for label in BASE.values()]))
