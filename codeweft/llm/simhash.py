@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, pinned, table
 from .components import connected_components
-from .hashing import LOWER
+from .hashing import LOWER, NON_SPACE, chunks, column_bytes, mixed, pair, tokens
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -204,18 +204,231 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Exactly one row of each class: the least id, null last; of one id the least hash of the text.
+# ---- near-duplicate rows of a table: similarity of five-word shingles
 
-    Id and hash of the text name a class, so the rows need not carry its root.
+ROW_SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of the fingerprint of shingles, as 64-bit parts, and those of the fingerprint of words that may differ.
+PARTS, WORD_BITS = 4, 7
+#: Segments of a word fingerprint, eight of eight bits: one more than may differ.
+WORD_SEGMENTS = 8
+#: Standard errors that a distance may be above the one expected at ``SIMILARITY``.
+ALLOWED_ERRORS = 1.25
+CHUNK_BYTES = 1 << 20
+
+
+def allowed_bits(similarity: float = SIMILARITY, bits: int = 64 * PARTS, errors: float = ALLOWED_ERRORS) -> int:
+    """Differing bits of shingle fingerprints up to which texts of a Jaccard similarity are expected.
+
+    Sets of similarity j have the cosine 2j / (1 + j), and each bit differs with the angle's share of a
+    half turn; ``errors`` standard errors above the mean are allowed.
     """
-    content = F.coalesce(F.col("text"), F.lit(""))
-    boxed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(content).alias("hash"))
-    keyed = docs.select("doc_id", F.xxhash64(content).alias("hash"), content.cast("binary").alias("_raw"))
-    own = pinned(map_columns(keyed, ["doc_id", "hash"], "fp long", lambda batch: [[fingerprint(x) for x in batch.column("_raw").to_pylist()]]), "simhash-docs")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("first")
-    least = pinned(own.groupBy("fp").agg(first), "simhash-fps")
-    roots = connected_components(links(least.select("fp")))
-    chosen = least.join(roots, least["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.hash")
-    kept = boxed.alias("d").join(chosen.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.hash") == F.col("k.hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "hash"]).select("row.*")
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + errors * np.sqrt(bits * share * (1 - share)))
+
+
+def _votes(hashes: np.ndarray, starts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """64 bits for each group of hashes from ``starts``: set if more than half of the weight has it.
+
+    Bits are counted in lanes of one number, eight of 8 bits or, with weights of at most 1000, four of
+    16 bits; runs of so few hashes are added up that no lane can overflow.
+    """
+    width, run = (8, 255) if weights is None else (16, 64)
+    sizes = np.diff(np.append(starts, len(hashes)))
+    runs = -(-sizes // run)
+    first = np.cumsum(runs) - runs
+    cuts = np.repeat(starts, runs) + (np.arange(runs.sum()) - np.repeat(first, runs)) * run
+    total = sizes if weights is None else np.add.reduceat(weights, starts)
+    lane, out = np.uint64(sum(1 << (width * i) for i in range(64 // width))), np.zeros(len(starts), np.uint64)
+    for k in range(width):
+        lanes = (hashes >> np.uint64(k)) & lane
+        sums = np.add.reduceat(lanes if weights is None else lanes * weights.astype(np.uint64), cuts)
+        for i in range(64 // width):
+            part = (sums >> np.uint64(width * i)) & np.uint64((1 << width) - 1)
+            ones = np.add.reduceat(part.astype(np.int64), first)
+            out |= (ones * 2 > total).astype(np.uint64) << np.uint64(width * i + k)
+    return out
+
+
+def text_fingerprints(raw: np.ndarray, offsets: np.ndarray, size: int = ROW_SHINGLE, parts: int = PARTS) -> np.ndarray:
+    """A row for each text: the fingerprint of its words (by the root of their counts), and ``parts`` of its shingles."""
+    words, counts = tokens(raw, offsets, NON_SPACE)[:2]
+    out = np.zeros((len(counts), 1 + parts), np.uint64)
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return out
+    counts = counts[some]
+    row, first = np.repeat(np.arange(len(some)), counts), np.cumsum(counts) - counts
+    order = np.lexsort((words, row))
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (words[order][1:] != words[order][:-1]) | (row[order][1:] != row[order][:-1])
+    at = np.flatnonzero(fresh)
+    times = np.minimum(1000, np.round(8 * np.sqrt(np.diff(np.append(at, len(row)))))).astype(np.int64)
+    out[some, 0] = _votes(words[order][at], np.searchsorted(row[order][at], np.arange(len(some))), times)
+    with np.errstate(over="ignore"):
+        shingles = words.copy()
+        left = np.repeat(first + counts, counts) - np.arange(len(row))  # words from here to the end of the text
+        for k in range(1, size):
+            more = np.flatnonzero(left > k)
+            shingles[more] = pair(shingles[more], words[more + k], k)
+        whole = (left >= size) | (np.arange(len(row)) == first[row])  # fewer words: the whole text is one
+        shingles, starts = shingles[whole], np.searchsorted(row[whole], np.arange(len(some)))
+        for i in range(parts):
+            out[some, 1 + i] = _votes(mixed(shingles + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)), starts)
+    return out
+
+
+def _text_links(rows: np.ndarray, masks: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Whether rows i and j keep the budgets of their chains (rows of ``masks``) in their words and the bound in their shingles."""
+    x, at = rows[i, 0] ^ rows[j, 0], np.arange(len(i))
+    for step in range(1, WORD_SEGMENTS):
+        at = at[np.bitwise_count(x[at] & (masks[step] if masks.ndim == 1 else masks[at, step])) <= step]
+    apart = np.bitwise_count(rows[i[at], 1:] ^ rows[j[at], 1:]).sum(axis=1)
+    out = np.zeros(len(x), bool)
+    out[at[apart <= most]] = True
+    return out
+
+
+def _group_links(rows: np.ndarray, masks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links in one large group: all of them while they are few, else a spanning forest."""
+    left, right, found, step = [], [], 0, max(1, 500_000 // len(rows))
+    for lo in range(0, len(rows), step):
+        i, j = np.divmod(np.arange(min(step, len(rows) - lo) * len(rows)), len(rows))
+        later = j > i + lo
+        i, j = i[later] + lo, j[later]
+        hit = _text_links(rows, masks, i, j, most)
+        left.append(i[hit])
+        right.append(j[hit])
+        found += int(hit.sum())
+        if found > 4 * len(rows):
+            break
+    else:
+        return np.concatenate(left), np.concatenate(right)
+    open_, frontier, left, right = np.arange(1, len(rows)), [0], [], []
+    while len(open_):
+        if not frontier:
+            frontier, open_ = [int(open_[0])], open_[1:]
+            continue
+        at = frontier.pop()
+        hit = _text_links(rows, masks, np.full(len(open_), at), open_, most)
+        left += [at] * int(hit.sum())
+        right += open_[hit].tolist()
+        frontier += open_[hit].tolist()
+        open_ = open_[~hit]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def text_group_links(keys: np.ndarray, nodes: np.ndarray, rows: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within groups: rows ends[i-1]..ends[i] are group i; keys name the chain's start."""
+    starts = np.concatenate([[0], ends[:-1]])
+    sizes, left, right = ends - starts, [], []
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+        a, b = np.triu_indices(size, 1)
+        some, step = starts[sizes == size], max(1, 500_000 // len(a))
+        for lo in range(0, len(some), step):
+            base = some[lo : lo + step, None]
+            i, j = (base + a).reshape(-1), (base + b).reshape(-1)
+            ok = _text_links(rows, WORD_MASKS[keys[i] >> 17], i, j, most)
+            left.append(nodes[i[ok]])
+            right.append(nodes[j[ok]])
+    for s, e in zip(starts[sizes > SMALL], ends[sizes > SMALL]):
+        i, j = _group_links(rows[s:e], WORD_MASKS[keys[s] >> 17], most)
+        left.append(nodes[s:e][i])
+        right.append(nodes[s:e][j])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _word_masks(first: int) -> np.ndarray:
+    """Bits of the first one, two, ... segments of the chain from a segment."""
+    mask, out = 0, []
+    for l in range(WORD_SEGMENTS):
+        mask |= 0xFF << (8 * ((first + l) % WORD_SEGMENTS))
+        out.append(mask)
+    return np.array(out, np.uint64)
+
+
+WORD_MASKS = np.array([_word_masks(i) for i in range(WORD_SEGMENTS)], np.uint64)
+
+
+def text_links(texts: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect rows (node, fps) as all links would; see ``near_duplicate_roots``."""
+
+    def bits(at: int, width: int):
+        return F.shiftrightunsigned(F.col("fps")[0], at).bitwiseAND(F.lit((1 << width) - 1))
+
+    keys = [F.lit((2 * i + half) << 16) + bits(8 * i, 8) * 16 + bits(8 * ((i + 1) % WORD_SEGMENTS) + 4 * half, 4) for i in range(WORD_SEGMENTS) for half in (0, 1)]
+    keyed = texts.select("node", "fps", F.explode(F.array(*keys)).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).alias("blocks"))
+    # At most 2 * WORD_SEGMENTS * 2 ** 12 keys.
+    rows = keyed.join(F.broadcast(shared), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    groups = ["key", "block_a", "block_b"]
+    rows = rows.select("key", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "node", "fps")
+
+    def found(table):
+        import pyarrow as pa
+
+        group = np.stack([np.asarray(table[c]) for c in groups], axis=1)
+        ends = np.append(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1, len(group)).astype(np.int64)
+        fps = np.asarray(table["fps"].combine_chunks().flatten()).view(np.uint64).reshape(len(group), -1)
+        a, b = text_group_links(group[:, 0], np.asarray(table["node"]), fps, ends, most)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def search(batches):
+        """Sorted rows of whole groups; a group may span batches."""
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            last = np.ones(table.num_rows, bool)
+            for c in groups:
+                values = np.asarray(table[c])
+                last &= values == values[-1]
+            first = int(np.argmax(last))
+            held = table.slice(first).combine_chunks()
+            if first:
+                yield found(table.slice(0, first))
+        if held is not None:
+            yield found(held)
+
+    n = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, *groups).sortWithinPartitions(*groups, "node").mapInArrow(search, "a long, b long")
+
+
+def near_duplicate_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """id_key, text_key of the one row of each class that stays: the least id (null last), then the least hash of the text.
+
+    Two texts link if their five-word shingles are alike to ``similarity`` or more, as fingerprints of
+    256 bits tell it; candidates are found by pigeonring over a fingerprint of their words, of which
+    ``WORD_BITS`` may differ: a ring of eight segments has a chain whose first l segments differ in
+    fewer than l bits. Texts of equal words are one before the search.
+    """
+    most = allowed_bits(similarity)
+    rows = docs.select(*row_keys(), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_raw"))
+
+    def run(batch):
+        raw, offsets = column_bytes(batch.column("_raw"))
+        found = [text_fingerprints(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets, CHUNK_BYTES)]
+        return [list(np.concatenate(found).view(np.int64))] if found else [[]]
+
+    own = pinned(map_columns(rows, ["no_id", "id_key", "text_key"], "fps array<long>", run), "simhash-docs")
+    texts = pinned(own.groupBy("fps").agg(F.min(F.struct("no_id", "id_key", "text_key")).alias("first")).withColumn("node", F.xxhash64("fps")), "simhash-texts")
+    roots = connected_components(text_links(texts, most))
+    rooted = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    return rooted.select("first.id_key", "first.text_key")
+
+
+def row_keys() -> list:
+    """Two columns without nulls that tell rows apart by id and text."""
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNull())
+    return [F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id_key"), text.alias("text_key")]
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Exactly one row of each class of near duplicates; whole rows travel as one column, so no name can clash."""
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), *row_keys())
+    kept = boxed.join(near_duplicate_rows(docs, similarity), ["id_key", "text_key"], "left_semi")
+    return kept.dropDuplicates(["id_key", "text_key"]).select("row.*")
