@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), epochs: float = 1.5, cap: floa
     small = plan.count() <= BROADCAST_SOURCES
     hint = F.broadcast if small else (lambda x: x)
     seeded = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_key"))
-    dealt = sizes.alias("d").join(hint(plan).alias("p"), _same(F.col("d.source"), F.col("p.source"))).select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "quota", seeded.alias("seeded"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).alias("shard"))
+    dealt = sizes.alias("d").join(hint(plan).alias("p"), _same(F.col("d.source"), F.col("p.source"))).select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "quota", seeded.alias("seeded"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text_key")), F.col("shards")).alias("shard"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("votes"), F.first("quota").alias("source_quota"))
     shard_quotas = sainte_lague(shards, ["source", "shard"], ["source"], "source_quota").withColumnRenamed("quota", "shard_quota")
     by_shard = Window.partitionBy("source", "shard")
@@ -102,11 +102,15 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
-    """The mix as rows of ``docs``: each document as often as it is taken, the last block's document rounded."""
-    counts = mix(docs, **kwargs).select("doc_id", "size", "taken")
+    """The mix as rows of ``docs``: each document as often as it is taken, the last block's document rounded.
+
+    Rows are told apart by a hash of id, text and source, so only rows that are equal in all three share a count.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")), F.col("source").isNull(), "source").alias("doc_id")
+    counts = mix(docs.select(key, "text", "source"), **kwargs).select("doc_id", "size", "taken")
     copies = counts.groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(0).cast("int")
-    kept = copies.select("doc_id", times.alias("times")).where("times > 0").alias("k")
-    boxed = docs.select("doc_id", F.struct(*docs.columns).alias("row")).alias("d")
-    joined = boxed.join(kept, _same(F.col("d.doc_id"), F.col("k.doc_id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    kept = copies.select("doc_id", times.alias("times")).where("times > 0")
+    boxed = docs.select(key, F.struct(*docs.columns).alias("row"))
+    joined = boxed.join(kept, "doc_id").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
     return joined.select("row.*")

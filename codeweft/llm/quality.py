@@ -111,10 +111,15 @@ def _clamped(p: Column) -> Column:
     return F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))
 
 
+def _good(evidence: Column, prior: float) -> Column:
+    """Probability of being good by the document's evidence and the prior alone."""
+    p = min(max(prior, 1e-6), 1 - 1e-6)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), evidence + math.log(p / (1 - p))))))
+
+
 def site_posteriors(evidence: DataFrame, prior: float, least_strength: float = 5.0, most_strength: float = 1_000.0) -> DataFrame:
-    """host, path, host_rate, path_rate, path_docs from rows (host, path, evidence)."""
-    logit = math.log(min(max(prior, 1e-6), 1 - 1e-6)) - math.log(1 - min(max(prior, 1e-6), 1 - 1e-6))
-    p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("evidence") + logit))))
+    """host, path, path_docs, path_good, strength, host_rate, path_rate from rows (host, path, evidence)."""
+    p = _good(F.col("evidence"), prior)
     paths = evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("path_docs"), F.sum(p).alias("path_good"))
     hosts = paths.groupBy("host").agg(F.sum("path_docs").alias("host_docs"), F.sum("path_good").alias("host_good"))
 
@@ -132,7 +137,7 @@ def site_posteriors(evidence: DataFrame, prior: float, least_strength: float = 5
     both = paths.alias("a").join(hosts.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host"))).select("a.host", "path", "path_docs", "path_good", "host_rate")
     both = pinned(both, "quality-sites")
     m1 = strength(both, "path_docs", F.col("path_good") / F.col("path_docs"), _clamped(F.col("host_rate"))).first()["m"]
-    return both.select("host", "path", "path_docs", _clamped(F.col("host_rate")).alias("host_rate"), _clamped((F.col("path_good") + F.lit(m1) * F.col("host_rate")) / (F.col("path_docs") + F.lit(m1))).alias("path_rate"))
+    return both.select("host", "path", "path_docs", "path_good", F.lit(float(m1)).alias("strength"), _clamped(F.col("host_rate")).alias("host_rate"), _clamped((F.col("path_good") + F.lit(m1) * F.col("host_rate")) / (F.col("path_docs") + F.lit(m1))).alias("path_rate"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: list[str], host: Column | None = None, path: Column | None = None, text_col: str = "text") -> DataFrame:
@@ -140,17 +145,16 @@ def quality(docs: DataFrame, labels: DataFrame, keep: list[str], host: Column |
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("\0")), F.coalesce(F.col("lang"), F.lit("\0"))) if path is None else path
     sited = docs.withColumns({"_host": host, "_path": path})
-    rows = pinned(feature_bins(sited, ["doc_id", "_host", "_path"], text_col), "quality-bins")
+    # The kept columns are written beside the features, so that texts are read and cut into words once.
+    rows = pinned(feature_bins(sited, list(dict.fromkeys([*keep, "doc_id", "_host", "_path"])), text_col), "quality-bins")
     ratio, prior = learn_evidence(rows, labels)
     sites = site_posteriors(rows.select(F.col("_host").alias("host"), F.col("_path").alias("path"), _evidence(ratio).alias("evidence")), prior)
     few = sites.count() <= BROADCAST_SITES
-    if keep == ["doc_id"]:
-        judged = rows
-    else:
-        judged = feature_bins(sited, [*keep, *(c for c in ("_host", "_path") if c not in keep)], text_col)
-    judged = judged.withColumn("evidence", _evidence(ratio)).alias("d")
+    judged = rows.withColumn("evidence", _evidence(ratio)).alias("d")
     joined = judged.join(F.broadcast(sites).alias("s") if few else sites.alias("s"), F.col("d._path").eqNullSafe(F.col("s.path")) & F.col("d._host").eqNullSafe(F.col("s.host")))
-    posterior = 1 / (1 + F.exp(-(F.col("d.evidence") + _logit(F.col("s.path_rate")))))
+    # The path's rate without the document itself, whose evidence is added on its own.
+    others = _clamped((F.col("s.path_good") - _good(F.col("d.evidence"), prior) + F.col("s.strength") * F.col("s.host_rate")) / (F.col("s.path_docs") - 1 + F.col("s.strength")))
+    posterior = 1 / (1 + F.exp(-(F.col("d.evidence") + _logit(others))))
     return joined.select(*[F.col(f"d.{k}") for k in keep], F.col("d.evidence").alias("evidence"), "s.host_rate", "s.path_rate", posterior.alias("quality"))
 
 

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import math
 import re
+import struct
+import time
 import zlib
 from re import _parser
 
@@ -31,18 +33,19 @@ def texts(docs):
 # ---- 1
 
 
-def exact_top(vectors, k):
+def exact_top(rows, k):
+    """``rows``: (id, vector); rows that repeat an id are rows of their own."""
     out = []
-    for q, v in vectors.items():
+    for a, (q, v) in enumerate(rows):
         if q % 50 == 0:
-            best = sorted(((-int(np.dot(v, w)), i) for i, w in vectors.items() if i != q))[:k]
+            best = sorted((-int(np.dot(v, w)), i) for b, (i, w) in enumerate(rows) if a != b)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
 def test_topk_equals_brute_force(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
-    vectors = {r["vec_id"]: np.floor(256 * np.array(r["embedding"], np.float64)).astype(np.int64) for r in table.collect()}
+    vectors = [(r["vec_id"], np.floor(256 * np.array(r["embedding"], np.float64)).astype(np.int64)) for r in table.collect()]
     got = topk.op1_topk(spark, SF)
     assert sorted(tuple(r) for r in got.collect()) == exact_top(vectors, 5)
 
@@ -52,13 +55,49 @@ def test_topk_clustered_ties_and_odd_rows(spark):
     centres = rng.normal(size=(6, 8)) * 40
     rows = [(i, [float(x) for x in np.round(centres[i % 6] + rng.normal(size=8))]) for i in range(4000)]
     rows += [(4000 + i, [1.0] * 8) for i in range(900)]  # copies
-    vectors = {i: np.array([math.floor(256 * x) for x in v]) for i, v in rows}
-    rows += [(9000, None), (9001, [1.0, None] * 4), (9002, [float("nan")] * 8), (9003, [float("inf")] * 8), (None, [1.0] * 8), (3, rows[3][1]), (9050, [])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1))
-    got = topk.top_k(topk.quantised(table), F.col("vec_id") % 50 == 0, data_block=600, query_block=40)
+    rows += [(3, rows[3][1]), (50, [5.0] * 8), (50, [5.0] * 8), (51, rows[50][1])]  # repeated ids
+    vectors = [(i, np.array([math.floor(256 * x) for x in v])) for i, v in rows]
+    rows += [(9000, None), (9001, [1.0, None] * 4), (9002, [float("nan")] * 8), (9003, [float("inf")] * 8), (None, [1.0] * 8), (9050, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "row": F.lit(2), "place": F.lit("x")})
+    got = topk.top_k(topk.quantised(table), F.col("vec_id") % 50 == 0, data_block=600, query_chunk=40)
     assert sorted(tuple(r) for r in got.collect()) == exact_top(vectors, 5)
 
 
+def test_cover_tree_covers_and_separates():
+    rng = np.random.default_rng(2)
+    points = np.concatenate([c + rng.normal(size=(150, 5)) for c in rng.normal(size=(8, 5)) * 60] + [np.zeros((40, 5))])
+    tree = topk.CoverTree(points)
+    assert tree.depth() >= 4 and sorted(tree.order) == list(range(len(points)))
+    for i in range(len(tree.lo)):
+        own = tree.order[tree.lo[i] : tree.hi[i]]
+        assert np.linalg.norm(points[own] - points[tree.centre[i]], axis=1).max() <= tree.radius[i] + 1e-6
+        children = range(tree.first[i], tree.last[i])
+        if len(children):
+            assert [tree.lo[children[0]], tree.hi[children[-1]]] == [tree.lo[i], tree.hi[i]]
+            centres = points[tree.centre[list(children)]]
+            apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)[np.triu_indices(len(centres), 1)]
+            assert (apart > tree.radius[i] / 2 - 1e-6).all() and max(tree.radius[c] for c in children) <= tree.radius[i] / 2 + 1e-6
+
+
+def test_dual_tree_leaves_out_most_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    data = np.floor(np.concatenate([c * 360 / np.linalg.norm(c) + rng.normal(size=(200, 16)) * 4 for c in centres])).astype(np.int64)
+    ids, asked, seen = np.arange(len(data)), np.arange(0, len(data), 25), {}
+    norm = float((data * data).sum(axis=1).max())
+    scores, at = topk.search_block(asked, data[asked], np.full(len(asked), -np.inf), ids, ids, data, 5, norm, seen)
+    for row, q in enumerate(asked):
+        want = sorted((-int(data[q] @ data[i]), i) for i in ids if i != q)[:5]
+        assert [(-int(s), int(i)) for s, i in zip(scores[row], at[row])] == want
+    assert seen["scored"] < 0.2 * seen["pairs"] and seen["data_levels"] > 3 and seen["query_levels"] >= 2
+    rows = [np.floor(256 * np.array(r["embedding"], np.float64)).astype(np.int64) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    data, seen = np.stack(rows), {}
+    ids = np.arange(len(data))
+    topk.search_block(ids[::50], data[::50], np.full(len(ids[::50]), -np.inf), ids, ids, data, 5, float((data * data).sum(axis=1).max()), seen)
+    print("pairs scored on the driver's vectors:", seen)  # directions without clusters: see the README
+    assert seen["data_levels"] >= 2
+
+
 def test_topk_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(topk.quantised(few), F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 131072)]
@@ -111,6 +150,14 @@ def test_mix_meets_targets(spark, docs, texts):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+def test_mixed_documents_tell_rows_apart(spark):
+    rows = [(None, f"null {i} " * 30, "a") for i in range(40)] + [(5, f"five {i} " * 30, "b") for i in range(40)] + [(i, f"one {i} " * 30, "c") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counts = {(r["doc_id"], r["text"]): r["count"] for r in mixing.mixed_documents(docs).groupBy("doc_id", "text").count().collect()}
+    assert max(counts.values()) <= 2 and len({t for i, t in counts if i is None}) >= 39 and len({t for i, t in counts if i == 5}) >= 18
+    assert sum(counts.values()) == pytest.approx(1.5 * len(rows), abs=4)
+
+
 def test_mix_odd_rows(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 9 and {r["doc_id"]: r["size"] for r in rows if r["doc_id"] in (2, 3, 5, 7)} == {2: 0, 3: 0, 5: 0, 7: 1}
@@ -131,6 +178,31 @@ def test_html_cases():
     assert html_text.main_text("<article><p>one<p>two <script>x") == "one\ntwo"
 
 
+LONG = "The committee met for three hours on Tuesday and agreed, after much debate, that the bridge should be repaired before winter and paid for by the county."
+NINE_LINKS = " ".join(f"<a href='/{i}'>Some more news</a>" for i in range(9))
+
+
+def test_html_without_telling_elements_and_with_misleading_names():
+    cases = {
+        f"<p>{LONG}</p><p>Nobody was hurt.</p><p>The mayor spoke at noon today.</p><p>{LONG}</p><div>{NINE_LINKS}</div>": [LONG, "Nobody was hurt.", "The mayor spoke at noon today.", LONG],
+        f"<article><h1>Law</h1><div class='legal'><p>{LONG}</p></div><p id='search-party'>{LONG}</p></article>": ["Law", LONG, LONG],
+        f"<article><h1>T</h1><p>{LONG}</p><div class='user-discussion'><p>I agree with all that.</p></div><p>{NINE_LINKS}</p><p>Fine.</p></article>": ["T", LONG, "Fine."],
+        f"<div>{NINE_LINKS}</div><div><h1>Bridge agreed</h1><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</p></div>": ["Bridge agreed", LONG, LONG],
+    }
+    for page, want in cases.items():
+        assert html_text.main_text(page).split("\n") == want
+
+
+def test_html_tree_uses_density_and_neighbours_and_holds_on_new_pages():
+    tree = html_text.trained_tree()
+    assert {"words", "link_density", "words_before", "words_after", "links_before", "links_after"} <= html_text.used_features(tree)
+    right = total = 0
+    for page, marks in html_text.labelled_pages(150, seed=99):
+        right += int((html_text.predict(tree, html_text.text_blocks(page)[1]) == (np.array(marks) == 1)).sum())
+        total += len(marks)
+    assert right > 0.98 * total
+
+
 def test_html_pages(spark):
     import html
 
@@ -184,6 +256,21 @@ def textbook_lzw(samples, min_size):
     return bits.to_bytes((sum(s for _, s in codes) + 7) // 8, "little")
 
 
+def test_gif_columns_have_timed_frames_with_colours(spark):
+    def frame(delay, flags, left, top, samples, clear=0):
+        body = media._blocks(media.lzw_encode(samples.reshape(-1)))
+        return b"\x21\xf9\x04" + struct.pack("<BHBB", flags, delay, clear, 0) + b"\x2c" + struct.pack("<HHHHB", left, top, samples.shape[1], samples.shape[0], 0) + b"\x08" + body
+
+    palette = bytes(x for i in range(256) for x in (255 if i == 1 else 0, 255 if i == 2 else 0, 255 if i == 3 else 0))
+    head = b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0xF7, 0, 0) + palette
+    one, two = np.full((4, 4), 1, np.uint8), np.array([[2, 9], [9, 3]], np.uint8)
+    data = head + frame(5, 1 << 2, 0, 0, one) + frame(7, 2 << 2 | 1, 1, 1, two, 9) + frame(9, 1 << 2 | 1, 0, 0, np.full((4, 4), 9, np.uint8), 9) + b"\x3b"
+    table = spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(b"no gif"))], "id long, gif binary").withColumn("frames", F.lit(1))
+    rows = {r["id"]: r["frames"] for r in media.gif_columns(table, ["id"]).collect()}
+    assert rows[2] is None and rows[3] is None and [(f["start_ms"], f["delay_ms"], f["left"], f["top"], f["width"], f["height"]) for f in rows[1]] == [(0, 50, 0, 0, 4, 4), (50, 70, 1, 1, 2, 2), (120, 90, 0, 0, 4, 4)]
+    assert [(f["red"][15], f["green"][15], f["blue"][15]) for f in rows[1]] == [(16, 0, 0), (2, 1, 1), (12, 0, 0)]  # transparent pixels show; what was drawn is cleared
+
+
 def test_media_columns(spark, texts, odd, none):
     for r in media.op4_media(spark, SF).collect():
         raw = texts[r["doc_id"]].encode()
@@ -230,6 +317,17 @@ def test_licenses_equal_plain_python(spark, texts, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_in_a_long_text_of_hits(spark):
+    unit = "Copyright 2020 MIT License, "
+    table = spark.createDataFrame([(1, unit * 75_000), (2, unit * 300), (3, "all rights reserved " * 40 + "SPDX-License-Identifier: MIT " * 50)], "doc_id long, text string")
+    began = time.time()
+    rows = {r["doc_id"]: r for r in licenses.scan(table).withColumn("n", F.size("detections")).drop("detections").collect()}
+    assert time.time() - began < 60  # seconds even on a slow machine; pairs of detections would take over an hour
+    assert (rows[1]["n_words"], rows[1]["n_base"], rows[1]["last_word"], rows[1]["n"]) == (300_000, 75_000, 299_998, 150_000)
+    for i, text in ((2, unit * 300), (3, "all rights reserved " * 40 + "SPDX-License-Identifier: MIT " * 50)):
+        assert tuple(rows[i][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) == plain_scan(text)
+
+
 def alternatives(tree):
     """One text for each way through an expression; a set of characters gives each of its first ones."""
     out = [""]
@@ -477,6 +575,67 @@ def test_near_duplicates_keep_one_row_of_each_class(spark):
         assert got == sorted([(None, x) for x in unlike[:30]] + [(5, x) for x in unlike[30:51]] + [(4, unlike[51]), (None, unlike[52]), (8, "")], key=str)
 
 
+def shingle_sets(text):
+    words = WORD.findall((text or "").translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def plain_roots(texts, most):
+    """Classes by all pairs of fingerprints, without keys or chains."""
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    fps = simhash.text_fingerprints(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    roots = list(range(len(texts)))
+
+    def root(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for i in range(len(texts)):
+        near = (np.bitwise_count(fps[:, 0] ^ fps[i, 0]) <= simhash.WORD_BITS) & (np.bitwise_count(fps[:, 1:] ^ fps[i, 1:]).sum(axis=1) <= most)
+        for j in np.flatnonzero(near[:i]):
+            a, b = sorted((root(i), root(int(j))))
+            roots[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_find_planted_edits(spark, texts):
+    rng = np.random.default_rng(8)
+    base = [t.split() for t in sorted(set(texts.values())) if 120 <= len(t.split()) <= 900][:70]
+    made = [" ".join(t) for t in base]
+    for t in base:
+        for _ in range(3):
+            edited = list(t)
+            for at in rng.choice(len(t), max(1, round(len(t) * rng.uniform(0.002, 0.02))), replace=False):
+                edited[at] = f"new{rng.integers(10**6)}"
+            made.append(" ".join(edited))
+    hub = [f"h{i}" for i in range(300)]  # a large group of near copies, with other distances to each other
+    for i in range(150):
+        edited = list(hub)
+        for at in rng.choice(300, 3, replace=False):
+            edited[at] = f"e{i}x{at}"
+        made.append(" ".join(edited))
+    made += ["", "one", "two", "one two three"]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    roots = plain_roots(made, simhash.allowed_bits())
+    assert kept == set(roots)
+    sets = [shingle_sets(t) for t in made]
+    pairs = [(i, j) for i in range(len(made)) for j in range(i) if alike(sets[i], sets[j]) >= 0.8]
+    assert sum(roots[i] == roots[j] for i, j in pairs) >= 0.97 * len(pairs)
+    assert all(alike(sets[i], sets[roots[i]]) > 0.4 for i in range(len(made)))
+    assert len(kept & set(range(len(base) + 3 * len(base), len(base) * 4 + 150))) == 1
+
+
+def test_allowed_bits_grow_with_dissimilarity():
+    assert simhash.allowed_bits(1.0) == 0 < simhash.allowed_bits(0.9) < simhash.allowed_bits(0.8) < simhash.allowed_bits(0.5) < 128
+
+
 # ---- 9
 
 

@@ -8,6 +8,8 @@ import corpus_pipeline
 from codeweft.llm import quality, simhash, toxicity
 from codeweft.llm.common import pinned
 
+from test_operators import plain_roots
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -26,8 +28,9 @@ def test_stages(spark):
             model = toxicity.train(raw, toxicity.known_labels(spark.read.parquet(f"{SF}/labels.parquet")))
             assert sorted(ids) == sorted(r["doc_id"] for r in toxicity.score(docs, model, ["doc_id"]).where("toxic_score < 0.7").collect())
         if name == "near_duplicates":
-            found = simhash.classes(docs).collect()
-            assert sorted(ids) == sorted({r["component_id"] for r in found})
+            rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+            roots = plain_roots([t for _, t in rows], simhash.allowed_bits())
+            assert sorted(ids) == sorted({rows[i][0] for i in roots})
         if name == "mixing":
             assert max(collections.Counter(ids).values()) <= 2
         if name == "packing":
