@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked fingerprints."""
+    """One document of each class of texts whose five-word shingles are alike to 0.8 or more."""
     return drop_near_duplicates(docs)
 
 
