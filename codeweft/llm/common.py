@@ -46,6 +46,23 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+def with_texts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` and the texts for ``texts_of``: within the column ``row`` if that is kept, so that no text travels twice, else beside it."""
+    if "row" in keep:
+        return docs.select(*keep)
+    return docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_raw"))
+
+
+def texts_of(batch, text_col: str = "text"):
+    """The texts of a batch of ``with_texts`` as an Arrow array without nulls."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if "_raw" in batch.schema.names:
+        return batch.column("_raw")
+    return pc.fill_null(pc.struct_field(batch.column("row"), text_col).cast(pa.large_string()), "").cast(pa.large_binary())
+
+
 def map_columns(df: DataFrame, keep: list[str], fields: str, fn) -> DataFrame:
     """``keep`` as it is, and the columns that ``fn(batch)`` gives: one list or array for each of ``fields``.
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_columns, pinned, table
+from .common import fold, map_columns, pinned, table, texts_of, with_texts
 from .hashing import NON_SPACE, chunks, column_bytes, tokens
 
 CHUNK_BYTES = 1 << 20
@@ -72,7 +72,7 @@ def feature_bins(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
     first = np.cumsum([0, *widths[:-1]])
 
     def run(batch):
-        raw, offsets = column_bytes(batch.column("_raw"))
+        raw, offsets = column_bytes(texts_of(batch, text_col))
         out = np.zeros((batch.num_rows, len(EDGES)), np.int32)
         for lo, hi in chunks(offsets, CHUNK_BYTES):
             values = _features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -80,8 +80,7 @@ def feature_bins(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
                 out[lo:hi, i] = first[i] + np.searchsorted(edges, values[:, i])
         return [list(out)]
 
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_raw"))
-    return map_columns(rows, keep, "bins array<int>", run)
+    return map_columns(with_texts(docs, keep, text_col), keep, "bins array<int>", run)
 
 
 def learn_evidence(bins: DataFrame, labels: DataFrame, smooth: float = 1.0) -> tuple[list[float], float]:
