@@ -204,16 +204,18 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- near-duplicate rows of a table: similarity of five-word shingles
+# ---- near-duplicate rows of a table: candidates by fingerprints, links by counted five-word shingles
 
 ROW_SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of the fingerprint of shingles, as 64-bit parts, and those of the fingerprint of words that may differ.
 PARTS, WORD_BITS = 4, 7
 #: Segments of a word fingerprint, eight of eight bits: one more than may differ.
 WORD_SEGMENTS = 8
-#: Standard errors that a distance may be above the one expected at ``SIMILARITY``.
-ALLOWED_ERRORS = 1.25
+#: Standard errors that a candidate's distance may be above the one expected at ``SIMILARITY``.
+ALLOWED_ERRORS = 3.0
 CHUNK_BYTES = 1 << 20
+#: Texts and bytes of a block whose shingles are counted in one task; a longer text is a block's only one or nearly so.
+TEXT_BLOCK, TEXT_BLOCK_BYTES = 1_024, 4 << 20
 
 
 def allowed_bits(similarity: float = SIMILARITY, bits: int = 64 * PARTS, errors: float = ALLOWED_ERRORS) -> int:
@@ -249,32 +251,79 @@ def _votes(hashes: np.ndarray, starts: np.ndarray, weights: np.ndarray | None =
     return out
 
 
-def text_fingerprints(raw: np.ndarray, offsets: np.ndarray, size: int = ROW_SHINGLE, parts: int = PARTS) -> np.ndarray:
-    """A row for each text: the fingerprint of its words (by the root of their counts), and ``parts`` of its shingles."""
+def text_shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of texts of at least one word, and the text of each; fewer words than ``size`` are one shingle."""
+    row, first = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+    with np.errstate(over="ignore"):
+        shingles = words.copy()
+        left = np.repeat(first + counts, counts) - np.arange(len(row))  # words from here to the end of the text
+        for k in range(1, size):
+            more = np.flatnonzero(left > k)
+            shingles[more] = pair(shingles[more], words[more + k], k)
+    whole = (left >= size) | (np.arange(len(row)) == first[row])
+    return shingles[whole], row[whole]
+
+
+def text_fingerprints(raw: np.ndarray, offsets: np.ndarray, size: int = ROW_SHINGLE, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
+    """For each text a hash of its words in order, and a row: the fingerprint of its words (by the root of their counts), and ``parts`` of its shingles."""
     words, counts = tokens(raw, offsets, NON_SPACE)[:2]
-    out = np.zeros((len(counts), 1 + parts), np.uint64)
+    nodes, out = np.zeros(len(counts), np.uint64), np.zeros((len(counts), 1 + parts), np.uint64)
     some = np.flatnonzero(counts)
     if not len(some):
-        return out
+        return nodes, out
     counts = counts[some]
     row, first = np.repeat(np.arange(len(some)), counts), np.cumsum(counts) - counts
+    with np.errstate(over="ignore"):
+        nodes[some] = mixed(np.add.reduceat(pair(words, (np.arange(len(row)) - first[row]).astype(np.uint64), 0), first))
     order = np.lexsort((words, row))
     fresh = np.ones(len(row), bool)
     fresh[1:] = (words[order][1:] != words[order][:-1]) | (row[order][1:] != row[order][:-1])
     at = np.flatnonzero(fresh)
     times = np.minimum(1000, np.round(8 * np.sqrt(np.diff(np.append(at, len(row)))))).astype(np.int64)
     out[some, 0] = _votes(words[order][at], np.searchsorted(row[order][at], np.arange(len(some))), times)
+    shingles, of = text_shingles(words, counts, size)
+    starts = np.searchsorted(of, np.arange(len(some)))
     with np.errstate(over="ignore"):
-        shingles = words.copy()
-        left = np.repeat(first + counts, counts) - np.arange(len(row))  # words from here to the end of the text
-        for k in range(1, size):
-            more = np.flatnonzero(left > k)
-            shingles[more] = pair(shingles[more], words[more + k], k)
-        whole = (left >= size) | (np.arange(len(row)) == first[row])  # fewer words: the whole text is one
-        shingles, starts = shingles[whole], np.searchsorted(row[whole], np.arange(len(some)))
         for i in range(parts):
             out[some, 1 + i] = _votes(mixed(shingles + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)), starts)
-    return out
+    return nodes, out
+
+
+def shared_roots(raw: np.ndarray, offsets: np.ndarray, similarity: float, size: int = ROW_SHINGLE) -> np.ndarray:
+    """For each text the first one that links of at least ``similarity`` (Jaccard, sets of shingles) reach; texts without words are alone.
+
+    The texts that share a shingle are listed once; a text's lists, counted, give what it shares with every other.
+    """
+    words, counts = tokens(raw, offsets, NON_SPACE)[:2]
+    roots, some = np.arange(len(counts)), np.flatnonzero(counts)
+    if len(some) < 2:
+        return roots
+    shingles, of = text_shingles(words, counts[some], size)
+    order = np.lexsort((of, shingles))
+    shingles, of = shingles[order], of[order]
+    fresh = np.append(True, (shingles[1:] != shingles[:-1]) | (of[1:] != of[:-1]))
+    shingles, of = shingles[fresh], of[fresh]
+    starts = np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1]))
+    lengths = np.diff(np.append(starts, len(of)))
+    lists = np.repeat(np.arange(len(starts)), lengths)
+    by_text = np.argsort(of, kind="stable")
+    sizes = np.bincount(of, minlength=len(some))
+    ends = np.cumsum(sizes)
+    open_ = np.ones(len(some), bool)
+    for seed in range(len(some)):
+        frontier = [seed] if open_[seed] else []
+        open_[seed] = False
+        while frontier and open_.any():
+            at = frontier.pop()
+            own = lists[by_text[ends[at] - sizes[at] : ends[at]]]
+            n = lengths[own]
+            places = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(of[places], minlength=len(some))
+            hit = np.flatnonzero(open_ & (both / (sizes[at] + sizes - both) >= similarity))
+            open_[hit] = False
+            roots[some[hit]] = some[seed]
+            frontier += hit.tolist()
+    return roots
 
 
 def _text_links(rows: np.ndarray, masks: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
@@ -398,13 +447,40 @@ def text_links(texts: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     return rows.repartition(n, *groups).sortWithinPartitions(*groups, "node").mapInArrow(search, "a long, b long")
 
 
+def counted_links(docs: DataFrame, texts: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between texts of one group (node, root) that share ``similarity`` of their shingles, as all such links would connect them.
+
+    Groups are cut into blocks of bounded rows and bytes; every two blocks of a group meet in one task.
+    """
+    import pyarrow as pa
+
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    asked = groups.join(texts.select("node", "first.id_key", "first.text_key"), "node")
+    found = docs.select(*row_keys(), text).join(asked, ["id_key", "text_key"]).select("node", "root", "text")
+    members = pinned(found.dropDuplicates(["node"]), "simhash-members")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / TEXT_BLOCK), F.ceil(F.sum(F.octet_length("text")) / TEXT_BLOCK_BYTES))
+    rows = members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "node", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        raw, offsets = column_bytes(table["text"].combine_chunks())
+        nodes = np.asarray(table["node"])
+        roots = shared_roots(raw, offsets, similarity)
+        at = np.flatnonzero(roots != np.arange(len(roots)))
+        return pa.table({"a": pa.array(nodes[at], pa.int64()), "b": pa.array(nodes[roots[at]], pa.int64())})
+
+    return rows.groupBy("root", "block_a", "block_b").applyInArrow(run, "a long, b long")
+
+
 def near_duplicate_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """id_key, text_key of the one row of each class that stays: the least id (null last), then the least hash of the text.
 
-    Two texts link if their five-word shingles are alike to ``similarity`` or more, as fingerprints of
-    256 bits tell it; candidates are found by pigeonring over a fingerprint of their words, of which
-    ``WORD_BITS`` may differ: a ring of eight segments has a chain whose first l segments differ in
-    fewer than l bits. Texts of equal words are one before the search.
+    Two texts link if their sets of five-word shingles are alike to ``similarity`` or more, as counted in
+    the texts. Candidates are found by pigeonring over a fingerprint of their words, of which ``WORD_BITS``
+    may differ (a ring of eight segments has a chain whose first l segments differ in fewer than l bits),
+    and by fingerprints of 256 bits of their shingles. What candidates connect is a group; its texts are
+    counted against each other. Texts of equal words are one before the search; texts without words are one.
     """
     most = allowed_bits(similarity)
     rows = docs.select(*row_keys(), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_raw"))
@@ -412,11 +488,12 @@ def near_duplicate_rows(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     def run(batch):
         raw, offsets = column_bytes(batch.column("_raw"))
         found = [text_fingerprints(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets, CHUNK_BYTES)]
-        return [list(np.concatenate(found).view(np.int64))] if found else [[]]
+        return [np.concatenate([x for x, _ in found]).view(np.int64), list(np.concatenate([x for _, x in found]).view(np.int64))] if found else [[], []]
 
-    own = pinned(map_columns(rows, ["no_id", "id_key", "text_key"], "fps array<long>", run), "simhash-docs")
-    texts = pinned(own.groupBy("fps").agg(F.min(F.struct("no_id", "id_key", "text_key")).alias("first")).withColumn("node", F.xxhash64("fps")), "simhash-texts")
-    roots = connected_components(text_links(texts, most))
+    own = pinned(map_columns(rows, ["no_id", "id_key", "text_key"], "node long, fps array<long>", run), "simhash-docs")
+    texts = pinned(own.groupBy("node").agg(F.min(F.struct("no_id", "id_key", "text_key")).alias("first"), F.any_value("fps").alias("fps")), "simhash-texts")
+    groups = connected_components(text_links(texts, most))
+    roots = connected_components(counted_links(docs, texts, groups, similarity))
     rooted = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return rooted.select("first.id_key", "first.text_key")
 

@@ -5,7 +5,7 @@ import collections
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codeweft.llm import quality, simhash, toxicity
+from codeweft.llm import quality, toxicity
 from codeweft.llm.common import pinned
 
 from test_operators import plain_roots
@@ -29,7 +29,7 @@ def test_stages(spark):
             assert sorted(ids) == sorted(r["doc_id"] for r in toxicity.score(docs, model, ["doc_id"]).where("toxic_score < 0.7").collect())
         if name == "near_duplicates":
             rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
-            roots = plain_roots([t for _, t in rows], simhash.allowed_bits())
+            roots = plain_roots([t for _, t in rows])
             assert sorted(ids) == sorted({rows[i][0] for i in roots})
         if name == "mixing":
             assert max(collections.Counter(ids).values()) <= 2
