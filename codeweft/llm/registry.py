@@ -13,6 +13,7 @@ from .mixing import op2_mixing
 from .packing import op10_packing
 from .quality import op6_quality
 from .simhash import op8_simhash
+from .token_counts import op11_token_counts
 from .topk import OP1_SQL, op1_topk
 from .toxicity import op9_toxicity
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_token_counts": op11_token_counts,
     "pipeline": pipeline,
 }
 
