@@ -6,6 +6,7 @@ from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
 from corpus_pipeline import run as pipeline
 
 from .html_text import op3_html
+from .lexical import OP13_SQL, op13_lexical
 from .licenses import op5_licenses
 from .lm import op7_lm
 from .media import op4_media
@@ -29,9 +30,10 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_token_counts": op11_token_counts,
+    "op13_lexical": op13_lexical,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op1_topk": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op13_lexical": OP13_SQL}
 if PIPELINE_SQL:
     ORACLES["pipeline"] = PIPELINE_SQL
