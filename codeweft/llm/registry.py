@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
 from corpus_pipeline import run as pipeline
 
+from .conversations import op12_conversations
 from .html_text import op3_html
 from .lexical import OP13_SQL, op13_lexical
 from .licenses import op5_licenses
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_token_counts": op11_token_counts,
+    "op12_conversations": op12_conversations,
     "op13_lexical": op13_lexical,
     "pipeline": pipeline,
 }
