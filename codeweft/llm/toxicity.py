@@ -5,12 +5,15 @@ learner keeps a rate per coordinate and an L1 penalty, so that few weights are n
 collected (at most ``2 ** bits``) and sent to every task, which scores whole texts in numpy.
 
 The learner sees at most ``max_rows`` labelled rows of each class (the first by a hash of the id), in
-one task. It reads them ``epochs`` times (by default so often that it makes about ``UPDATES`` updates, 4 to
-12 times), and leaves out features that fewer than ``min_rows`` of them have. Everything else covers all rows.
+one task. It reads them ``epochs`` times, and leaves out features that fewer than ``min_rows`` of them
+have. Everything else covers all rows.
 
 Results for odd input: null text is empty and scores the bias; rows with a null label or id are not
-learned from; repeated rows score alike; without rows of both classes the score is the share of
-toxic labels (0 without labels); an empty table gives an empty result; extra columns are ignored.
+learned from, and a null id counts as held out; of documents that share an id one (the least text) is
+learned from, so repeats don't outgrow ``max_rows``; repeated rows score alike; where the labels or the
+documents found for them are not of both classes, the score is the share of toxic labels (0 without
+labels); a text of any length is one row of a task, which holds some tens of its bytes for each byte of at
+most ``CHUNK_BYTES`` or of the text if longer; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from .hashing import ALNUM, chunks, column_bytes, pair, tokens
 
 BITS = 20
 CHUNK_BYTES = 1 << 20
-#: Updates of the learner, about: a sample is read so often that it makes about as many, 4 to 12 times.
-UPDATES = 60_000
+#: Times that the sample is read.
+EPOCHS = 12
 #: Longer words also count by their first bytes, so that a rare form is near the forms that were learned.
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -64,28 +67,30 @@ class Ftrl:
         penalty[np.asarray(at) == self.size] = 0.0
         return np.where(np.abs(z) <= penalty, 0.0, (np.sign(z) * penalty - z) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
-    def learn(self, at: np.ndarray, label: float, scale: float = 1.0) -> None:
+    def learn(self, at: np.ndarray, label: float) -> None:
         """``at``: distinct slots; the last slot is the bias."""
         at = np.append(at, self.size)
         w = self.weights(at)
-        g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * scale
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += g - sigma * w
         self.n[at] += g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: int | None = None, bits: int = BITS, min_rows: int = 4, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: int = EPOCHS, bits: int = BITS, min_rows: int = 4, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots, weights and bias, from the texts of the rows that ``labels`` (doc_id, label) has."""
     pick = F.xxhash64(F.lit(seed), F.col("doc_id"))
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [labels.where(F.col("label") == label).select("doc_id", "label", pick.alias("pick")).orderBy("pick", "doc_id").limit(max_rows) for label in counts]
     total = sum(counts.values())
-    if not total or len([n for n in counts.values() if n]) < 2:
-        rate = counts.get(1, 0) / total if total else 0.0
-        return np.zeros(0, np.int64), np.zeros(0), float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))
+    rate = counts.get(1, 0) / total if total else 0.0
+    share = np.zeros(0, np.int64), np.zeros(0), float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))
+    if len(counts) < 2:
+        return share
     # At most max_rows of each of two labels, so the ids may be broadcast and no text is shuffled to find them.
     some = F.broadcast(chosen[0].union(chosen[1]).distinct())
-    sample = docs.select("doc_id", "text").join(some, "doc_id").select("label", "pick", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    found = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id", "label", "pick").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = found.select("label", "pick", F.col("text").cast("binary").alias("raw"))
 
     def slots(batch):
         raw, offsets = column_bytes(batch.column("raw"))
@@ -100,10 +105,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: in
     def fit(data: pd.DataFrame) -> pd.DataFrame:
         data = data.sort_values(["pick", "label"], kind="stable")
         rows = list(zip(data["slots"], data["label"]))
+        if data["label"].nunique() < 2:
+            return pd.DataFrame({"slot": [], "weight": []})
         seen = np.bincount(np.concatenate([s for s, _ in rows]), minlength=1 << bits)
         rows = [(s[seen[s] >= min_rows], y) for s, y in rows]
         model = Ftrl(1 << bits)
-        for _ in range(epochs or max(4, min(12, UPDATES // len(rows)))):
+        for _ in range(epochs):
             for at, y in rows:
                 model.learn(at, float(y))
         w = model.weights(np.arange(model.size + 1))
@@ -111,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: in
         return pd.DataFrame({"slot": np.append(keep, -1), "weight": np.append(w[keep], w[-1])})
 
     found = map_columns(sample, ["label", "pick"], "slots array<int>", slots).groupBy().applyInPandas(fit, "slot long, weight double").toPandas()
+    if found.empty:
+        return share
     bias = float(found.loc[found["slot"] < 0, "weight"].iloc[0])
     found = found[found["slot"] >= 0]
     return found["slot"].to_numpy(), found["weight"].to_numpy(), bias
@@ -146,7 +155,7 @@ def known_labels(labels: DataFrame) -> DataFrame:
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, known_labels(table(spark, sf_dir, "labels")))
-    rows = docs.select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+    rows = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True)))
     return score(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.when(F.col("toxic_score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
