@@ -12,8 +12,8 @@ How it runs: a first pass reads the texts and keeps only a digest, the role's in
 row. Equal rows are counted, which finds duplicates by a grouping and a join without a conversation in one
 place. Rows are then sorted by conversation and turn over range partitions, which split a conversation
 wherever it is long, and cut into segments of at most ``SEGMENT`` rows. A* settles each segment from every
-state in which it can be entered to every state in which it can be left: a table of cost and audit, four by
-four at most. Tables of a conversation are folded in order; only four audits are in memory. A last pass
+state in which it can be entered (one, where a conversation is seen to begin) to every state in which it can
+be left: a table of cost and audit, four by four at most. Tables of a conversation are folded in order; only four audits are in memory. A last pass
 sends the texts once, in order behind their conversation's audit, and hashes the repaired rows as they
 stream by (a hash reads its bytes in order, so one conversation's bytes pass one task, never held there).
 
@@ -132,9 +132,9 @@ def segments(rows: DataFrame, most: int = SEGMENT) -> DataFrame:
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "turn", "initial", "fault")
     schema = StructType([rows.schema["conv_id"], *StructType.fromDDL(SEGMENTS)])
 
-    def of(part: int, number: int, conv, turns: list, initials: list[str], faults_: list[str]) -> tuple:
+    def of(begins: bool, part: int, number: int, conv, turns: list, initials: list[str], faults_: list[str]) -> tuple:
         known = [t for t in turns if t is not None]
-        tables = [(entry, to, cost, audit) for entry in STATES for to, (cost, audit) in settle(initials, faults_, entry).items()]
+        tables = [(entry, to, cost, audit) for entry in ((0,) if begins else STATES) for to, (cost, audit) in settle(initials, faults_, entry).items()]
         illegal = sum(a + b not in LEGAL for a, b in zip(initials, initials[1:]))
         first, last = (known[0], known[-1]) if known else (None, None)
         return conv, part, number, first, last, len(set(known)), initials[0], initials[-1], len(turns), faults_.count("b"), faults_.count("d"), faults_.count("t"), illegal, tables
@@ -145,13 +145,13 @@ def segments(rows: DataFrame, most: int = SEGMENT) -> DataFrame:
 
         arrow, part, number = to_arrow_schema(schema), TaskContext.get().partitionId(), 0
         made, held = [], ([], [], [])
-        conv = None
+        conv, begins = None, False  # a partition's first rows may go on from the one before
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("conv_id", "turn", "initial", "fault")]
             for c, *row in zip(*columns):
                 if held[0] and (c != conv or len(held[0]) >= most):
-                    made.append(of(part, number, conv, *held))
-                    number, held = number + 1, ([], [], [])
+                    made.append(of(begins, part, number, conv, *held))
+                    number, held, begins = number + 1, ([], [], []), c != conv
                 conv = c
                 for values, value in zip(held, row):
                     values.append(value)
@@ -159,7 +159,7 @@ def segments(rows: DataFrame, most: int = SEGMENT) -> DataFrame:
                 yield _batch(made, arrow)
                 made = []
         if held[0]:
-            made.append(of(part, number, conv, *held))
+            made.append(of(begins, part, number, conv, *held))
         yield _batch(made, arrow)
 
     return dealt.mapInArrow(run, schema)
