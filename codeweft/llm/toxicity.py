@@ -21,7 +21,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,22 +101,30 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: in
             out += [(both[a:b] & ((1 << bits) - 1)).astype(np.int32) for a, b in zip(edges[:-1], edges[1:])]
         return [out]
 
-    def fit(data: pd.DataFrame) -> pd.DataFrame:
-        data = data.sort_values(["pick", "label"], kind="stable")
-        rows = list(zip(data["slots"], data["label"]))
-        if data["label"].nunique() < 2:
-            return pd.DataFrame({"slot": [], "weight": []})
-        seen = np.bincount(np.concatenate([s for s, _ in rows]), minlength=1 << bits)
-        rows = [(s[seen[s] >= min_rows], y) for s, y in rows]
-        model = Ftrl(1 << bits)
-        for _ in range(epochs):
-            for at, y in rows:
-                model.learn(at, float(y))
-        w = model.weights(np.arange(model.size + 1))
-        keep = np.flatnonzero(w[:-1])
-        return pd.DataFrame({"slot": np.append(keep, -1), "weight": np.append(w[keep], w[-1])})
-
-    found = map_columns(sample, ["label", "pick"], "slots array<int>", slots).groupBy().applyInPandas(fit, "slot long, weight double").toPandas()
+    def fit(batches):
+        import pyarrow as pa
+
+        rows, seen = [], np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            values, ends = batch.column("slots").flatten().to_numpy(), np.cumsum(batch.column("slots").value_lengths().to_numpy())
+            for a, b, label in zip(np.append(0, ends[:-1]), ends, batch.column("label").to_pylist()):
+                rows.append((values[a:b].copy(), float(label)))
+                seen[values[a:b]] += 1  # a row's slots are distinct
+        slot, weight = np.zeros(0, np.int64), np.zeros(0)
+        if len({label for _, label in rows}) == 2:
+            for i, (at, label) in enumerate(rows):
+                rows[i] = at[seen[at] >= min_rows], label
+            model = Ftrl(1 << bits)
+            for _ in range(epochs):
+                for at, label in rows:
+                    model.learn(at, label)
+            w = model.weights(np.arange(model.size + 1))
+            keep = np.flatnonzero(w[:-1])
+            slot, weight = np.append(keep, -1), np.append(w[keep], w[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(weight, pa.float64())], names=["slot", "weight"])
+
+    # One task reads the sample in order; it keeps the slots of its rows, of which there are max_rows of a class at most.
+    found = map_columns(sample, ["label", "pick"], "slots array<int>", slots).repartition(1).sortWithinPartitions("pick", "label").mapInArrow(fit, "slot long, weight double").toPandas()
     if found.empty:
         return share
     bias = float(found.loc[found["slot"] < 0, "weight"].iloc[0])
