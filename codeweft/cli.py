@@ -19,7 +19,7 @@ from .operators import traverse as T
 from .plans import build as B
 from .schemas import QA
 from .sources import files as S
-from .storage import load_version, save_version, store_location
+from .storage import load_version, pinned, save_version, store_location
 
 ALL = ("nodes", "edges", "methods", "types")
 
@@ -70,8 +70,10 @@ def build(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.update and before:
         old = _load(spark, store)
         files = S.scan_sources(spark, a.path)
-        types, manifest = B.incremental_types(old.types, S.load_manifest(spark, f"{store}/manifest"), files, options.backend)
-        graph = B.graph_of(types, S.load_rules(spark))
+        known = S.load_manifest(spark, f"{store}/manifest")
+        stale = pinned(D.manifest_diff(known, files.select("path", "sha256")).where("state <> 'unchanged'").select(F.col("path").alias("file_path")), "stale")
+        types, manifest = B.incremental_types(old.types, known, files, options.backend)
+        graph = B.relink(old, types, stale, S.load_rules(spark))
         graph = C.cluster(B.deepen(graph) if options.deep else graph, options.clustering)
         D.diff_summary(old, graph).show(truncate=False)
     else:
@@ -133,8 +135,7 @@ def cluster_only(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def merge(spark: SparkSession, a: argparse.Namespace) -> int:
-    merged = D.merge_graphs(_load(spark, a.primary), _load(spark, a.secondary), a.repo, a.prefix_edges)
-    print(_save(spark, a.primary, merged.with_(methods=_load(spark, a.primary).methods, types=_load(spark, a.primary).types)))
+    print(_save(spark, a.primary, D.merge_graphs(_load(spark, a.primary), _load(spark, a.secondary), a.repo, a.prefix_edges)))
     return 0
 
 
@@ -146,7 +147,7 @@ def save_result(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def watch(spark: SparkSession, a: argparse.Namespace) -> int:
-    from .streaming.events import watch as start
+    from .streaming.watch import watch as start
 
     start(spark, a.path, lambda rows: build(spark, a), f"{store_location(a.path)}/watch", a.debounce).awaitTermination()
     return 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import annotation_name, endpoint_class, simple_name
 from ..graph import Graph
+from ..storage import pinned
 
 #: Marks of session beans and of injected fields (fixed values).
 EJB_MARKS = ("@Stateless", "@Stateful", "@Singleton", "@MessageDriven")
@@ -67,12 +68,34 @@ def resolve_names(graph: Graph, queries: DataFrame) -> DataFrame:
     return queries.join(named, "q", "left").groupBy("q").agg(F.min("fqn").alias("fqn"))
 
 
-def seeds_by_name(names: DataFrame, questions: DataFrame, limit: int = 3) -> DataFrame:
+def _grams(text: Column, n: int) -> Column:
+    """All stretches of ``n`` characters, repeats included."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) if n else F.array(F.lit(""))
+
+
+def seeds_by_name(names: DataFrame, questions: DataFrame, limit: int = 3, gram: int = 8) -> DataFrame:
     """(question_id, name, rank): names that the lower-cased question contains, the first ``limit`` in order.
 
-    Containment has no equi key: the shorter side is asked to be small and is broadcast by its size.
+    Of every name the stretch of ``gram`` characters (all of a shorter name) that the fewest names share stands
+    for it; the questions' stretches meet these by an equi-join, and only names so met are looked for in full.
     """
-    hits = questions.join(names, F.contains(F.lower("question"), F.lower("name")))
+    low = names.select("name", F.lower("name").alias("_low")).where(F.col("_low").isNotNull())
+    lengths = sorted(r[0] for r in low.select(F.least(F.lit(gram), F.length("_low"))).distinct().collect())  # gram + 1 values at most
+    of_length = [low.select("_low").distinct().where((F.length("_low") == n) if n < gram else (F.length("_low") >= n)).select("_low", F.explode(F.array_distinct(_grams(F.col("_low"), n))).alias("_gram")) for n in lengths]
+    if not of_length:
+        return questions.select("question_id", F.lit("").alias("name"), F.lit(0).alias("rank")).limit(0)
+    parts = of_length[0]
+    for more in of_length[1:]:
+        parts = parts.union(more)
+    shared = parts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = parts.join(shared, "_gram").groupBy("_low").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    rarest = pinned(rarest, "rarest-grams")
+    few = rarest.count() <= 100_000  # then they may go to every task, else both sides are sorted
+    asked = questions.select("question_id", F.lower("question").alias("_question"))
+    every = F.array_distinct(F.concat(*[_grams(F.col("_question"), n) for n in lengths]))
+    grams = asked.select("question_id", F.explode(every).alias("_gram"))
+    met = (grams.join(F.broadcast(rarest), "_gram") if few else grams.hint("merge").join(rarest, "_gram")).select("question_id", "_low").distinct()
+    hits = met.join(asked, "question_id").where(F.contains("_question", "_low")).select("question_id", "_low").join(low, "_low")
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy("name"))
     return hits.select("question_id", "name", rank.alias("rank")).where(F.col("rank") <= limit)
 

@@ -54,6 +54,11 @@ def rename_methods(graph: Graph, renames: DataFrame) -> Graph:
     return graph.with_(nodes=renamed(graph.nodes, "id").select(*graph.nodes.columns), edges=first_wins(edges, EDGE_KEY, [F.col("weight").desc(), "provenance"]))
 
 
+def without(rows: DataFrame, id_, ids: DataFrame) -> DataFrame:
+    """Rows whose id (an expression) is not among ``ids`` (id)."""
+    return rows.withColumn("_own", id_).join(ids.select(F.col("id").alias("_own")), "_own", "left_anti").select(*rows.columns)
+
+
 def delete_nodes(graph: Graph, ids: DataFrame) -> Graph:
     """Nodes and all their edges."""
     edges = graph.edges.join(ids.select(F.col("id").alias("from_id")), "from_id", "left_anti").join(ids.select(F.col("id").alias("to_id")), "to_id", "left_anti")

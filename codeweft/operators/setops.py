@@ -54,13 +54,20 @@ def first_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:
 
 
 def merge_graphs(primary: Graph, secondary: Graph, repo: str = "secondary", prefix_edges: bool = False) -> Graph:
-    """Secondary nodes get ids ``repo:id``; edges keep theirs unless ``prefix_edges``; the primary wins."""
+    """Secondary nodes get ids ``repo:id``; edges keep theirs unless ``prefix_edges``; methods and types of both; the primary wins."""
     nodes = primary.nodes.withColumn("seq", F.lit(0)).unionByName(secondary.nodes.withColumn("id", F.concat(F.lit(f"{repo}:"), "id")).withColumn("seq", F.lit(1)))
     theirs = secondary.edges
     if prefix_edges:
         theirs = theirs.withColumns({c: F.concat(F.lit(f"{repo}:"), c) for c in ("from_id", "to_id")})
     edges = primary.edges.withColumn("seq", F.lit(0)).unionByName(theirs.withColumn("seq", F.lit(1)))
-    return Graph(first_wins(nodes, ["id"], ["seq"]).drop("seq"), first_wins(edges, ["type", "from_id", "to_id"], ["seq"]).drop("seq"))
+
+    def both(mine: DataFrame | None, more: DataFrame | None, key: list[str]) -> DataFrame | None:
+        if mine is None or more is None:
+            return more if mine is None else mine
+        return mine.unionByName(more.join(mine, key, "left_anti").select(*more.columns), allowMissingColumns=True)
+
+    methods, types = both(primary.methods, secondary.methods, ["fqn", "signature"]), both(primary.types, secondary.types, ["fqn"])
+    return Graph(first_wins(nodes, ["id"], ["seq"]).drop("seq"), first_wins(edges, ["type", "from_id", "to_id"], ["seq"]).drop("seq"), methods, types)
 
 
 def merge_graph_json(documents: DataFrame) -> DataFrame:

@@ -3,35 +3,109 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from ..storage import pinned
 
-
-#: Vectors of a block of ``similar_pairs``, and rows of a block that are scored at once.
+#: Vectors of a block, about, and rows of a block that are scored at once.
 BLOCK_ROWS, SLICE_ROWS = 4_096, 512
+#: Pivots at most: they are known to every task (1,024 vectors), and there is one for each block up to that.
+PIVOTS = 1_024
+#: Rounding of angles, allowed for in every bound.
+SLACK = 1e-6
+
+
+def _units(column: pd.Series) -> np.ndarray:
+    x = np.array(column.tolist(), np.float64).reshape(len(column), -1)
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(norm > 0, norm, 1)[:, None]
+
+
+@dataclass(frozen=True)
+class AngleIndex:
+    """rows (fqn, vector, block) and blocks (block, pivot, least, most): the angles between a block's vectors and its pivot."""
+
+    rows: DataFrame
+    blocks: DataFrame
+    pivots: np.ndarray
+
+    def pairs(self, threshold: float) -> DataFrame:
+        """(x, y) of blocks, x <= y, between which two vectors may have a cosine of ``threshold``.
+
+        Vectors at angles a and b from pivots that are t apart are t - a - b apart at least; from one pivot, the
+        difference of a and b at least.
+        """
+        spark = self.rows.sparkSession
+        if threshold <= 0 or not len(self.pivots):
+            met = [(p, q, 0.0) for p in range(len(self.pivots)) for q in range(p, len(self.pivots))]
+            wide = np.pi
+        else:
+            wide = float(np.arccos(min(1.0, threshold))) + SLACK
+            reach = np.full(len(self.pivots), -np.inf)
+            for r in self.blocks.groupBy("pivot").agg(F.max("most").alias("most")).collect():  # a row for each pivot
+                reach[r["pivot"]] = r["most"]
+            apart = np.arccos(np.clip(self.pivots @ self.pivots.T, -1, 1))
+            near = np.argwhere(apart - reach[:, None] - reach[None, :] <= wide)
+            met = [(int(p), int(q), float(apart[p, q])) for p, q in near if p <= q]
+        pivots = spark.createDataFrame(met, "p long, q long, apart double")
+        left = self.blocks.select(F.col("pivot").alias("p"), F.col("block").alias("x0"), F.col("least").alias("x_least"), F.col("most").alias("x_most"))
+        right = self.blocks.select(F.col("pivot").alias("q"), F.col("block").alias("y0"), F.col("least").alias("y_least"), F.col("most").alias("y_most"))
+        both = pivots.join(left, "p").join(right, "q")
+        ring = F.when(F.col("p") == F.col("q"), F.greatest(F.col("x_least") - F.col("y_most"), F.col("y_least") - F.col("x_most"))).otherwise(F.lit(0.0))
+        bound = F.greatest(F.col("apart") - F.col("x_most") - F.col("y_most"), ring)
+        near = both.where((bound <= wide) if threshold > 0 else F.lit(True))
+        return near.select(F.least("x0", "y0").alias("x"), F.greatest("x0", "y0").alias("y")).distinct()
+
+
+def angle_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> AngleIndex:
+    """Blocks of vectors (fqn, vector) that are at like angles from the same pivot; empty and null vectors are left out.
+
+    Pivots are rows picked by a hash. A pivot's vectors are cut into rings of about ``block_rows`` by their angle,
+    so a crowd around one pivot is many blocks and not one.
+    """
+    rows = vectors.where(F.size("vector") > 0).select("fqn", "vector")
+    wanted = max(1, min(PIVOTS, -(-rows.count() // block_rows)))
+    picked = rows.select("vector", F.xxhash64("fqn").alias("h")).orderBy("h").limit(wanted).toPandas()
+    pivots = _units(picked["vector"]) if len(picked) else np.zeros((0, 0))
+
+    def place(batches):
+        for data in batches:
+            cosines = np.clip(_units(data["vector"]) @ pivots.T, -1, 1)
+            best = cosines.argmax(axis=1)
+            yield data.assign(pivot=best, angle=np.arccos(cosines[np.arange(len(data)), best]))
+
+    kind = rows.schema["vector"].dataType.simpleString()
+    placed = pinned(rows.mapInPandas(place, f"fqn string, vector {kind}, pivot long, angle double"), "angles")
+    # Rings by a histogram of angles: steps of a degree, split by a hash where one step has too many.
+    step = F.floor(F.degrees("angle")).cast("long")
+    counts = placed.groupBy("pivot", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("pivot").orderBy("step"))  # at most 181 steps of a pivot
+    rings = counts.select("pivot", "step", F.ceil(F.col("n") / block_rows).alias("parts"), F.when(F.col("n") < block_rows, F.floor((before - F.col("n")) / block_rows)).otherwise(F.lit(-1) - F.col("step")).alias("ring"))
+    salted = placed.withColumn("step", step).join(F.broadcast(rings), ["pivot", "step"]).withColumn("salt", F.pmod(F.xxhash64("fqn", F.lit(5)), F.col("parts")))
+    dealt = pinned(salted.select("fqn", "vector", "pivot", "angle", F.xxhash64("pivot", "ring", "salt").alias("block")), "angle-blocks")
+    blocks = dealt.groupBy("block", "pivot").agg(F.min("angle").alias("least"), F.max("angle").alias("most"))
+    return AngleIndex(dealt.select("fqn", "vector", "block"), pinned(blocks, "angle-table"), pivots)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, score) of all pairs of rows (fqn, vector) with a < b at or above the threshold.
+    """(a, b, score) of all pairs of rows (fqn, vector) with a < b at or above the threshold, exactly.
 
-    All vectors meet all vectors in square blocks of about ``block_rows``: each row is sent to the block
-    pairs of its own block, and a task multiplies two blocks of unit vectors, some rows at a time. Only
-    pairs over the threshold leave a task.
+    Only pairs of blocks that can hold such a pair are multiplied, some rows at a time, each in a task of
+    its own; only pairs over the threshold leave it. Zero vectors have a cosine of 0 with all.
     """
-    blocks = max(1, -(-vectors.count() // block_rows))
-    rows = vectors.where(F.size("vector") > 0).select("fqn", "vector", F.pmod(F.xxhash64("fqn"), F.lit(blocks)).alias("block"))
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    spread = spread.select("fqn", "vector", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    index = angle_index(vectors, block_rows)
+    pairs = index.pairs(threshold)
+    ends = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    spread = index.rows.join(ends, "block")
 
     def run(data: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(data["vector"].tolist(), np.float64)
-        norm = np.sqrt((x * x).sum(axis=1))
-        unit = x / np.where(norm > 0, norm, 1)[:, None]
+        unit = _units(data["vector"])
         names, first = data["fqn"].to_numpy(), (data["block"] == data["x"]).to_numpy()
         same = data["x"].iloc[0] == data["y"].iloc[0]
         left, right = (np.arange(len(data)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import class_id, method_id, tech_id
+from ..functions.scalars import class_fqn_from_method_id, class_id, endpoint_class, method_id, tech_id
 from ..graph import Graph
 from ..operators import analysis as A
 from ..operators import community as C
@@ -45,15 +45,20 @@ def _edges(rows: DataFrame, kind: str, a, b, weight: float) -> DataFrame:
     return rows.select(F.lit(kind).alias("type"), a.alias("from_id"), b.alias("to_id"), F.lit(weight).alias("weight"), F.lit("EXTRACTED").alias("provenance"), F.lit(1.0).alias("confidence_score")).distinct()
 
 
-def graph_of(types: DataFrame, rules: DataFrame | None = None) -> Graph:
-    """The graph of parsed types. Calls link methods of one type; imports link only known types."""
+def _imports(types: DataFrame) -> DataFrame:
+    """(fqn, other) of single-type imports."""
+    each = types.select("fqn", F.explode(F.filter("import_nodes", lambda i: ~i["is_wildcard"] & ~i["is_static"])).alias("i")).select("fqn", F.col("i.name").alias("other"))
+    return each.where("fqn <> other")
+
+
+def graph_of(types: DataFrame, rules: DataFrame | None = None, known: DataFrame | None = None, stubs: bool = True) -> Graph:
+    """The graph of parsed types. Calls link methods of one type; imports link only known types (``known``: fqn; else the types themselves)."""
     types = types.dropDuplicates(["fqn"])
     m = methods_of(types)
     own = types.select("fqn", class_id(F.col("fqn")).alias("id"))
     asked = m.select("fqn", "signature", F.explode("calls").alias("callee"))
     called = asked.join(m.select("fqn", F.col("name").alias("callee"), F.col("signature").alias("to_signature")), ["fqn", "callee"])
-    imports = types.select("fqn", F.explode(F.filter("import_nodes", lambda i: ~i["is_wildcard"] & ~i["is_static"])).alias("i")).select("fqn", F.col("i.name").alias("other"))
-    known = imports.join(types.select(F.col("fqn").alias("other")), "other", "left_semi").where("fqn <> other")
+    known = _imports(types).join((types if known is None else known).select(F.col("fqn").alias("other")), "other", "left_semi")
     edges = (
         _edges(m, "CONTAINS", class_id(F.col("fqn")), method_id(F.col("fqn"), F.col("signature")), 1.0)
         .union(_edges(called, "CALLS", method_id(F.col("fqn"), F.col("signature")), method_id(F.col("fqn"), F.col("to_signature")), 2.0))
@@ -70,7 +75,7 @@ def graph_of(types: DataFrame, rules: DataFrame | None = None) -> Graph:
         edges = edges.union(_edges(hits, "USES", class_id(F.col("fqn")), tech_id(F.col("id")), 1.0))
         nodes = nodes.union(hits.select("id", "name").distinct().select(tech_id(F.col("id")), F.lit("TECHNOLOGY"), F.col("id"), F.col("name"), F.lit(False), none, F.lit("PENDING")))
     graph = Graph(nodes, edges, m, types)
-    return graph.with_(nodes=graph.nodes.union(M.external_stubs(graph)))
+    return graph.with_(nodes=graph.nodes.union(M.external_stubs(graph))) if stubs else graph
 
 
 def deepen(graph: Graph, threshold: float = 0.8) -> Graph:
@@ -101,5 +106,38 @@ def incremental_types(old_types: DataFrame, old_manifest: DataFrame, files: Data
     return pinned(old_types.join(stale, "file_path", "left_anti").select(*fresh.columns).union(fresh), "types"), manifest
 
 
+def relink(old: Graph, new_types: DataFrame, stale: DataFrame, rules: DataFrame | None = None) -> Graph:
+    """The graph of ``new_types``, from ``old`` and what the types in changed, added and deleted files touch.
+
+    ``stale`` (file_path) names those files. Touched are the types that they hold or held: their nodes, methods and
+    the edges that start at them are made anew. An edge of an untouched type changes only where the name that
+    it points to became a known type or ceased to be one: imports of new names are looked up, and edges to names
+    that are gone are dropped. Stubs come and go with the ends that need them. All else is taken over.
+    """
+    touched = pinned(old.types.join(stale, "file_path", "left_semi").select("fqn").union(new_types.join(stale, "file_path", "left_semi").select("fqn")).distinct(), "touched")
+    were, are = old.types.select("fqn").distinct(), new_types.select("fqn").distinct()
+    names = touched.join(were.withColumn("_was", F.lit(True)), "fqn", "left").join(are.withColumn("_is", F.lit(True)), "fqn", "left")
+    appeared = names.where("_was IS NULL AND _is").select(F.col("fqn").alias("other"))
+    vanished = names.where("_was AND _is IS NULL").select(class_id(F.col("fqn")).alias("to_id"))
+    fresh_types = pinned(new_types.join(touched, "fqn", "left_semi").select(*new_types.columns), "fresh-types")
+    fresh = graph_of(fresh_types, rules, known=are, stubs=False)
+    owner = F.coalesce(endpoint_class(F.col("from_id")), F.col("from_id"))
+    kept = old.edges.withColumn("_owner", owner).join(touched.select(F.col("fqn").alias("_owner")), "_owner", "left_anti").select(*old.edges.columns)
+    changed = touched.select(class_id(F.col("fqn")).alias("to_id"))  # what a type is like depends on both ends
+    dropped = kept.where("type = 'DEPENDS_ON'").join(vanished, "to_id", "left_semi").unionByName(kept.where("type = 'SEMANTICALLY_SIMILAR'").join(changed, "to_id", "left_semi")).select(*M.EDGE_KEY)
+    untouched = new_types.join(touched, "fqn", "left_anti")
+    linked = _edges(_imports(untouched).join(appeared, "other", "left_semi"), "DEPENDS_ON", class_id(F.col("fqn")), class_id(F.col("other")), 3.0)
+    edges = kept.join(dropped, M.EDGE_KEY, "left_anti").select(*old.edges.columns).unionByName(fresh.edges).unionByName(linked)
+    # Nodes: those of touched types and all stubs go; technologies stay while an edge needs them.
+    of = F.when(F.col("id").startswith("method:"), class_fqn_from_method_id(F.col("id"))).otherwise(F.col("fqn"))
+    stay = old.nodes.where(~F.col("external")).withColumn("_owner", of).join(touched.select(F.col("fqn").alias("_owner")), "_owner", "left_anti").select(*old.nodes.columns)
+    nodes = stay.unionByName(fresh.nodes.select(*old.nodes.columns)).dropDuplicates(["id"])
+    used = edges.where("type = 'USES'").select(F.col("to_id").alias("id")).distinct()
+    nodes = nodes.where(~F.col("id").startswith("tech:")).unionByName(nodes.where(F.col("id").startswith("tech:")).join(used, "id", "left_semi").select(*nodes.columns))
+    methods = old.methods.join(touched, "fqn", "left_anti").select(*old.methods.columns).unionByName(fresh.methods.select(*old.methods.columns))
+    graph = Graph(pinned(nodes, "relinked-nodes"), pinned(edges, "relinked-edges"), methods, new_types)
+    return graph.with_(nodes=graph.nodes.unionByName(M.external_stubs(graph).select(*nodes.columns)))
+
+
 def summary(graph: Graph) -> DataFrame:
     return A.build_summary(graph.types)

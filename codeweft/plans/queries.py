@@ -5,23 +5,28 @@ Names start with the operator's id. Where no SQL is given, tests hold the query
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..changelog import GraphLog
 from ..functions import scalars as S
+from ..graph import Graph
 from ..operators import analysis as A
 from ..operators import community as C
 from ..operators import context as X
 from ..operators import exports as E
 from ..operators import lookups as L
 from ..operators import mutate as M
+from ..operators import records as R
 from ..operators import setops as D
 from ..operators import traverse as T
 from ..operators import vectors as V
 from ..schemas import COMMUNITY_WEIGHTS, RULES
-from ..streaming.events import drain
+from ..storage import shared_dir
+from ..streaming.events import MIGRATED, SIGNATURE, SPLIT, drain, mutate_log
 from .commerce import GRAPH_SQL, commerce, parties, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -747,9 +752,18 @@ def snk12(spark, sf):
     return E.graph_json(commerce(spark, sf)).select("line")
 
 
-@query("snk13_graph_html_nodes", "SELECT fqn AS at, 'nodes.add({id:''' || fqn || ''',label:''' || simple_name || ''',color:''' || ['#4e79a7', '#f28e2b', '#e15759', '#76b7b2', '#59a14f', '#edc948', '#b07aa1', '#ff9da7'][community_id % 8 + 1] || '''});' AS line FROM classes")
+def _fixed(lines, part: int) -> str:
+    """SQL rows (part, line) of fixed lines."""
+    return " UNION ALL ".join("SELECT {} AS part, '{}' AS line".format(part, x.replace("'", "''")) for x in lines)
+
+
+@query("snk13_graph_html", f"""WITH e AS (SELECT *, row_number() OVER (ORDER BY type, a, b) AS i FROM class_links)
+SELECT * FROM ({_fixed(E.HTML_HEAD, 0)})
+UNION ALL SELECT 1, '["' || fqn || '","' || simple_name || '",' || CAST(community_id AS VARCHAR) || ',"' || ['#4e79a7', '#f28e2b', '#e15759', '#76b7b2', '#59a14f', '#edc948', '#b07aa1', '#ff9da7'][community_id % 8 + 1] || '"],' FROM classes
+UNION ALL SELECT 2, '{E.HTML_BETWEEN}' UNION ALL SELECT 3, '["' || a || '","' || b || '","' || type || '"],' FROM e
+UNION ALL SELECT * FROM ({_fixed(E.HTML_TAIL, 99)})""")
 def snk13(spark, sf):
-    return E.graph_html(commerce(spark, sf)).where("part = 1").select("at", "line")
+    return E.graph_html(commerce(spark, sf)).select("part", "line")
 
 
 @query("snk14_graphml", "SELECT '<edge id=\"e' || CAST(row_number() OVER (ORDER BY type, a, b) - 1 AS VARCHAR) || '\" source=\"' || a || '\" target=\"' || b || '\"/>' AS line FROM class_links")
@@ -762,9 +776,14 @@ def snk15(spark, sf):
     return E.svg_grid(commerce(spark, sf)).select("fqn", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
-@query("snk16_wiki", LABELS + " SELECT 'community-' || CAST(community_id AS VARCHAR) || '.md' AS file, '# ' || label AS title FROM lab UNION ALL SELECT 'index.md', '# Codebase wiki'")
+@query("snk16_wiki", LABELS + """, s AS (SELECT community_id, count(*) AS members FROM classes WHERE community_id IS NOT NULL GROUP BY 1),
+i AS (SELECT x.community_id, count(*) AS n FROM class_links l JOIN classes x ON x.fqn = l.a JOIN classes y ON y.fqn = l.b AND x.community_id = y.community_id GROUP BY 1),
+h AS (SELECT s.community_id, CASE WHEN members < 2 THEN 1.0 ELSE least(1.0, coalesce(n, 0) / (members * (members - 1) / 2.0)) END AS cohesion FROM s LEFT JOIN i USING (community_id)),
+l AS (SELECT community_id, string_agg('- `' || fqn || '`' || chr(10), '' ORDER BY fqn) AS lines FROM classes GROUP BY 1)
+SELECT 'community-' || CAST(lab.community_id AS VARCHAR) || '.md' AS file, '# ' || label || chr(10) || chr(10) || 'Cohesion: ' || format('{:.2f}', CAST(cohesion AS DOUBLE)) || chr(10) || chr(10) || '## Types' || chr(10) || chr(10) || lines AS text FROM lab JOIN h ON h.community_id = lab.community_id JOIN l ON l.community_id = lab.community_id
+UNION ALL SELECT 'index.md', '# Codebase wiki' || chr(10) || chr(10) || string_agg('- [' || label || '](community-' || CAST(community_id AS VARCHAR) || '.md)' || chr(10), '' ORDER BY community_id) FROM lab""")
 def snk16(spark, sf):
-    return E.wiki(A.insights(commerce(spark, sf))).select("file", F.substring_index("text", "\n", 1).alias("title"))
+    return E.wiki(A.insights(commerce(spark, sf)))
 
 
 @query("snk17_cypher", "SELECT 'MERGE (n:Type {fqn: ''' || fqn || '''});' AS line FROM classes UNION ALL SELECT 'MATCH (a:Type {fqn: ''' || a || '''}), (b:Type {fqn: ''' || b || '''}) MERGE (a)-[:' || type || ']->(b);' FROM class_links")
@@ -787,6 +806,102 @@ def _event_stream(spark, sf) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _mutated(spark, sf, of) -> DataFrame:
+    """The commerce graph as a log, after a stream of events over it: its nodes (id, status) and edges, in one table (kind, a, b)."""
+    place = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    log, whole = GraphLog(spark, f"{place}/graph"), commerce(spark, sf)
+    log.create(Graph(whole.nodes, whole.edges))
+    rows = of(_event_stream(spark, sf)).withColumn("timestamp", F.col("ts"))
+    mutate_log(rows.select("kind", "node_id", "new_signature", "timestamp"), log, f"{place}/state").awaitTermination()
+    after = log.graph()
+    return after.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("status").alias("b")).union(after.edges.select("type", "from_id", "to_id"))
+
+
+def _of_customers(spark, sf, events: DataFrame, kind: str) -> DataFrame:
+    own = parties(spark, sf).where("side = 'c'").select(F.col("key").alias("user_id"), "fqn")
+    return events.join(own, "user_id").select(F.lit(kind).alias("kind"), S.class_id(F.col("fqn")).alias("node_id"), F.lit(None).cast("string").alias("new_signature"), "ts")
+
+
+@query("str1_split_graph", """WITH gone AS (SELECT 'class:' || fqn AS id FROM sides WHERE side = 'c' AND key IN (SELECT user_id FROM events WHERE event_type = 'error'))
+SELECT 'node' AS kind, id AS a, status AS b FROM nodes WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT type, from_id, to_id FROM edges WHERE from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone)""")
+def str1_graph(spark, sf):
+    """Types of users with errors are split: they go with their edges."""
+    return _mutated(spark, sf, lambda events: _of_customers(spark, sf, events.where("event_type = 'error'"), SPLIT))
+
+
+@query("str2_renamed_graph", """WITH ren AS (SELECT 'method:' || fqn || '#' || signature AS old_id, 'method:' || fqn || '#' || signature || 'v' || json_extract_string(props, '$.k') AS new_id FROM methods JOIN events ON signature = CAST(event_id AS VARCHAR) AND event_type = 'click')
+SELECT 'node' AS kind, coalesce(new_id, id) AS a, status AS b FROM nodes LEFT JOIN ren ON old_id = id
+UNION ALL SELECT type, coalesce(x.new_id, from_id), coalesce(y.new_id, to_id) FROM edges LEFT JOIN ren x ON x.old_id = from_id LEFT JOIN ren y ON y.old_id = to_id""")
+def str2_graph(spark, sf):
+    """Clicks give the method of their number a new signature."""
+    methods = commerce(spark, sf).methods.select("fqn", "signature")
+
+    def of(events: DataFrame) -> DataFrame:
+        clicks = events.where("event_type = 'click'").select(F.col("event_id").cast("string").alias("signature"), F.get_json_object("props", "$.k").alias("k"), "ts")
+        return clicks.join(methods, "signature").select(F.lit(SIGNATURE).alias("kind"), S.method_id(F.col("fqn"), F.col("signature")).alias("node_id"), F.concat("signature", F.lit("v"), "k").alias("new_signature"), "ts")
+
+    return _mutated(spark, sf, of)
+
+
+@query("str3_migrated_graph", """WITH moved AS (SELECT 'class:' || fqn AS id FROM sides WHERE side = 'c' AND key IN (SELECT user_id FROM events WHERE event_type = 'view'))
+SELECT 'node' AS kind, id AS a, CASE WHEN id IN (SELECT id FROM moved) THEN 'MIGRATED' ELSE status END AS b FROM nodes UNION ALL SELECT type, from_id, to_id FROM edges""")
+def str3_graph(spark, sf):
+    """Types of users with views are migrated."""
+    return _mutated(spark, sf, lambda events: _of_customers(spark, sf, events.where("event_type = 'view'"), MIGRATED))
+
+
+# ---- tables beside the graph: written, upserted and scanned
+
+
+def _log(spark) -> GraphLog:
+    log = GraphLog(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}")
+    log.create()
+    return log
+
+
+@query("src15_saved_answers", """WITH t AS (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS replier FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id * 100000 + turn AS id, text AS question, CASE WHEN conv_id % 2 = 0 THEN 'seen: ' || answer ELSE answer END AS answer, 'conversation:' || CAST(conv_id AS VARCHAR) AS nodes FROM t WHERE role = 'user' AND replier = 'assistant'""", graph=False)
+def src15_answers(spark, sf):
+    """Every question that was answered, saved with its conversation, those of even conversations saved again."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf, "conversations").withColumns({"answer": F.lead("text").over(w), "replier": F.lead("role").over(w)}).where("role = 'user' AND replier = 'assistant'")
+    rows = t.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), F.col("text").alias("question"), "answer", F.lit(0).cast("long").alias("created_at"), F.array(F.concat(F.lit("conversation:"), F.col("conv_id").cast("string"))).alias("node_ids"), "conv_id")
+    log = _log(spark)
+    R.save_answers(log, rows.drop("conv_id"))
+    R.save_answers(log, rows.where("conv_id % 2 = 0").withColumn("answer", F.concat(F.lit("seen: "), "answer")).drop("conv_id"))
+    return R.answers(log).select("id", "question", "answer", F.array_join("node_ids", ",").alias("nodes"))
+
+
+@query("snk7_saved_embeddings", "SELECT 'class:v' || CAST(vec_id AS VARCHAR) AS node_id, len(embedding) AS width, round(CAST(CASE WHEN vec_id % 3 = 0 THEN embedding[len(embedding)] ELSE embedding[1] END AS DOUBLE), 6) AS first FROM embeddings WHERE len(embedding) > 0", graph=False)
+def snk7_embeddings(spark, sf):
+    """Every vector, saved by its node, every third saved again in reverse."""
+    rows = table(spark, sf, "embeddings").select(F.concat(F.lit("class:v"), F.col("vec_id").cast("string")).alias("node_id"), F.col("vec_id").cast("string").alias("fqn"), F.lit("CLASS").alias("kind"), F.col("embedding").alias("vector"), "vec_id")
+    log = _log(spark)
+    R.save_embeddings(log, rows.drop("vec_id"))
+    R.save_embeddings(log, rows.where("vec_id % 3 = 0").withColumn("vector", F.reverse("vector")).drop("vec_id"))
+    return log.table("embeddings").select("node_id", F.size("vector").cast("long").alias("width"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+@query("snk8_saved_labels", LABELS + " SELECT community_id, CASE WHEN community_id % 2 = 0 THEN label || ' again' ELSE label END AS label FROM lab")
+def snk8_labels(spark, sf):
+    """Labels of all communities, those of even number saved again."""
+    rows, log = A.labels(commerce(spark, sf)).select("community_id", "label"), _log(spark)
+    R.save_labels(log, rows)
+    R.save_labels(log, rows.where("community_id % 2 = 0").withColumn("label", F.concat("label", F.lit(" again"))))
+    return log.table("labels").select("community_id", "label")
+
+
+@query("snk10_saved_hyperedges", HITS + """, e AS (SELECT 'tech-' || replace(lower(category), ' ', '-') AS id, category || ' users' AS label, list_sort(list(DISTINCT fqn)) AS m FROM hits GROUP BY category HAVING count(DISTINCT fqn) >= 3)
+SELECT id, label, array_to_string(CASE WHEN id LIKE '%1' THEN m[2:3] ELSE m END, ',') AS members FROM e""")
+def snk10_hyperedges(spark, sf):
+    """Users of each technology as a hyperedge; one is saved again with its second and third member alone."""
+    rows, log = A.technology_hyperedges(_hits(spark, sf)), _log(spark)
+    R.save_hyperedges(log, rows)
+    R.save_hyperedges(log, rows.where("id LIKE '%1'").withColumn("node_ids", F.slice("node_ids", 2, 2)))
+    return R.hyperedges(log).select("id", "label", F.array_join("node_ids", ",").alias("members"))
+
+
 @query("str1_split_users", "SELECT DISTINCT user_id FROM events WHERE event_type = 'error'", graph=False)
 def str1(spark, sf):
     return drain(_event_stream(spark, sf).where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "str1").select("user_id")

@@ -1,18 +1,19 @@
-"""Graph mutations as a stream, and a watch on source files. Each micro-batch makes one new version, named by its batch."""
+"""Graph mutations as a stream: each micro-batch makes one new version, written whole or as changes to a log."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scalars import class_fqn_from_method_id, method_id
+from ..changelog import KEYS, GraphLog, difference
+from ..functions.scalars import class_fqn_from_method_id, class_id, method_id, signature_from_method_id
 from ..graph import Graph
 from ..operators import mutate as M
-from ..storage import load_version, shared_dir
+from ..operators import records
+from ..storage import load_version, pinned, shared_dir
 
 SPLIT, SIGNATURE, MIGRATED = "NODE_SPLIT", "SIGNATURE_CHANGED", "NODE_MIGRATED"
 
@@ -32,7 +33,15 @@ def apply_events(graph: Graph, events: DataFrame) -> Graph:
     changed = last.where(F.col("kind") == SIGNATURE).select(F.col("node_id").alias("old_id"), method_id(class_fqn_from_method_id(F.col("node_id")), F.col("new_signature")).alias("new_id"))
     moved = last.where(F.col("kind") == MIGRATED).select(F.col("node_id").alias("id"), F.lit("MIGRATED").alias("new_status"))
     gone = last.where(F.col("kind") == SPLIT).select(F.col("node_id").alias("id"))
-    return M.delete_nodes(M.set_status(M.rename_methods(graph, changed), moved), gone)
+    after = M.delete_nodes(M.set_status(M.rename_methods(graph, changed), moved), gone)
+    if graph.methods is not None:
+        to = changed.select("old_id", signature_from_method_id(F.col("new_id")).alias("_to"))
+        own = method_id(F.col("fqn"), F.col("signature"))
+        methods = graph.methods.withColumn("_id", own).join(to.withColumnRenamed("old_id", "_id"), "_id", "left").withColumn("signature", F.coalesce("_to", "signature")).select(*graph.methods.columns)
+        after = after.with_(methods=M.without(methods.dropDuplicates(["fqn", "signature"]), own, gone))
+    if graph.types is not None:
+        after = after.with_(types=M.without(graph.types, class_id(F.col("fqn")), gone))
+    return after
 
 
 def mutate_stream(events: DataFrame, start: str, root: str, checkpoint: str) -> StreamingQuery:
@@ -48,11 +57,39 @@ def mutate_stream(events: DataFrame, start: str, root: str, checkpoint: str) ->
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def watch(spark: SparkSession, root: str, rebuild: Callable[[DataFrame], None], checkpoint: str, seconds: int = 3, once: bool = False, suffix: str = ".java") -> StreamingQuery:
-    """Call ``rebuild`` with the files (path, content) that appear or change, at most every ``seconds``."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length long, content binary").load(root)
-    trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
-    return files.writeStream.foreachBatch(lambda rows, n: rebuild(rows.select("path", "content"))).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+def touched(graph: Graph, ids: DataFrame) -> Graph:
+    """The part of the graph that events on ``ids`` (id) can change: these nodes, their edges, methods and types."""
+    near = ids.distinct()
+    edges = graph.edges.join(near.select(F.col("id").alias("from_id")), "from_id", "left_semi").unionByName(graph.edges.join(near.select(F.col("id").alias("to_id")), "to_id", "left_semi"))
+    methods = graph.methods and graph.methods.join(near, method_id(F.col("fqn"), F.col("signature")) == near["id"], "left_semi")
+    types = graph.types and graph.types.join(near, class_id(F.col("fqn")) == near["id"], "left_semi")
+    return Graph(graph.nodes.join(near, "id", "left_semi").select(*graph.nodes.columns), edges.select(*graph.edges.columns).dropDuplicates(M.EDGE_KEY), methods, types)
+
+
+def mutate_log(events: DataFrame, log: GraphLog, checkpoint: str) -> StreamingQuery:
+    """Run a stream of events (kind, node_id, new_signature, timestamp) over a log; each batch appends what it changes.
+
+    An event that is not after the last one applied to its node and kind is late or a repeat and changes
+    nothing, in whatever batch it comes; a batch that is run again appends nothing.
+    """
+
+    def batch(rows: DataFrame, n: int) -> None:
+        if 0 <= n <= log.commit().batch:
+            return
+        last = pinned(last_events(rows), "events")
+        known = log.applied().select("kind", "node_id", F.col("timestamp").alias("_seen"))
+        fresh = pinned(last.join(known, ["kind", "node_id"], "left").where(F.col("_seen").isNull() | (F.col("timestamp") > F.col("_seen"))).drop("_seen"), "events")
+        renamed = method_id(class_fqn_from_method_id(F.col("node_id")), F.col("new_signature"))
+        ids = fresh.select(F.col("node_id").alias("id")).union(fresh.where(F.col("kind") == SIGNATURE).select(renamed))
+        before = touched(log.graph(), ids)
+        before = before.with_(nodes=pinned(before.nodes, "touched"), edges=pinned(before.edges, "touched"))
+        after = apply_events(before, fresh)
+        names = [t for t in ("nodes", "edges", "methods", "types") if getattr(before, t) is not None]
+        changes = {t: difference(getattr(before, t), getattr(after, t), KEYS[t]) for t in names}
+        changes |= records.cascade(log, changes["nodes"].where("gone").select("id"))
+        log.append({**changes, "applied": fresh.select("kind", "node_id", F.col("timestamp").cast("timestamp").alias("timestamp"), F.lit(False).alias("gone"))}, n)
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:

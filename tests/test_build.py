@@ -208,6 +208,18 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "Emu.java").write_text("package zoo; class Emu extends Animal { Emu() { super(null); } }")
     assert main(["build", "-p", root, "--update", "--no-viz"], spark) == 0
     assert main(["path", "-p", root, "Emu", "Cat"], spark) == 0
+    (tmp_path / "Emu.java").unlink()
+    assert main(["build", "-p", root, "--update", "--no-viz"], spark) == 0
+    capsys.readouterr()
+    assert main(["path", "-p", root, "Emu", "Cat"], spark) == 1
+
+
+def test_merged_graphs_keep_methods_and_types_of_both(spark, zoo, tmp_path):
+    other = B.build(spark, write(tmp_path, Dog="package zoo; class Dog { void dig() { } void speak() { } }", Owl="package zoo; class Owl { void hoot() { } }"))
+    merged = D.merge_graphs(zoo, other)
+    found = {(r["fqn"], r["name"]) for r in merged.methods.collect()}
+    assert {("zoo.Dog", "dig"), ("zoo.Dog", "bark"), ("zoo.Owl", "hoot")} <= found and len(found) == merged.methods.select("fqn", "signature").distinct().count()
+    assert merged.types.where("fqn = 'zoo.Dog'").count() == 1 and merged.types.where("fqn = 'zoo.Owl'").count() == 1
 
 
 def test_user_rules_and_vector_blobs(spark, zoo):
