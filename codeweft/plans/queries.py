@@ -5,6 +5,7 @@ Names start with the operator's id. Where no SQL is given, tests hold the query
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -702,26 +703,31 @@ def mut5(spark, sf):
 # ---- contexts and exports
 
 
+_TOLD = json.dumps(X.INSTRUCTIONS, separators=(",", ":"))
+
+
 def context_sql(budget: int) -> str:
     """Contexts of all methods: head, then the skeletons of neighbours while they fit."""
-    return f"""WITH called AS (SELECT x.fqn, x.signature, string_agg('{{"n":"' || y.name || '","sig":"' || y.signature || '"}}', ',' ORDER BY y.signature) AS c FROM methods x JOIN methods y ON x.fqn = y.fqn AND x.name = y.name GROUP BY 1, 2),
-heads AS (SELECT m.fqn, m.signature, m.raw_body, '{{"t":"surgical","tgt":{{"fqn":"' || m.fqn || '","m":"' || name || '","sig":"' || m.signature || '","body":"' || raw_body || '","calls":[' || c || ']}}' AS head FROM methods m JOIN called c ON c.fqn = m.fqn AND c.signature = m.signature),
+    return f"""WITH called AS (SELECT x.fqn, x.signature, string_agg('{{"n":"' || y.name || '","sig":"' || y.signature || '","rt":"' || y.return_type || '"}}', ',' ORDER BY y.signature) AS c FROM methods x JOIN methods y ON x.fqn = y.fqn AND x.name = y.name GROUP BY 1, 2),
+first5 AS (SELECT community_id, fqn, row_number() OVER (PARTITION BY community_id ORDER BY fqn) AS r FROM classes WHERE community_id IS NOT NULL),
+sums AS (SELECT community_id, 'Community ' || CAST(community_id AS VARCHAR) || ' contains ' || CAST(count(*) AS VARCHAR) || ' types: ' || string_agg(fqn, ', ' ORDER BY fqn) FILTER (r <= 5) AS summary FROM first5 GROUP BY 1),
+heads AS (SELECT m.fqn, m.signature, m.raw_body, '{{"t":"surgical","c":' || CAST(sides.community_id AS VARCHAR) || coalesce(',"cs":"' || summary || '"', '') || ',"_instructions":{_TOLD},"tgt":{{"cls":"' || simple_name || '","fqn":"' || m.fqn || '","m":"' || name || '","sig":"' || m.signature || '","body":"' || raw_body || '","calls":[' || c || ']}}' AS head FROM methods m JOIN sides ON sides.fqn = m.fqn LEFT JOIN sums ON sums.community_id = sides.community_id JOIN called c ON c.fqn = m.fqn AND c.signature = m.signature),
 sized AS (SELECT *, (length(head) + 1) // 4 AS used FROM heads),
 listed AS (SELECT fqn, '"' || string_agg(signature, '","' ORDER BY signature) || '"' AS l FROM methods GROUP BY 1),
-skeleton AS (SELECT n.fqn, '{{"fqn":"' || n.fqn || '","cls":"' || simple_name || '","methods":[' || coalesce(l, '') || ']}}' AS s FROM nodes n LEFT JOIN listed ON listed.fqn = n.fqn WHERE starts_with(id, 'class:')),
+skeleton AS (SELECT n.fqn, '{{"fqn":"' || n.fqn || '","cls":"' || simple_name || '","methods":[' || coalesce(l, '') || '],"fields":[]}}' AS s FROM nodes n LEFT JOIN listed ON listed.fqn = n.fqn WHERE starts_with(id, 'class:')),
 shown AS (SELECT near1.fqn, other, s, length(s) // 4 AS tokens, sum(length(s) // 4) OVER (PARTITION BY near1.fqn ORDER BY other ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT DISTINCT fqn, other FROM near WHERE type IN ('DEPENDS_ON', 'CALLS', 'EXTENDS', 'IMPLEMENTS') AND fqn <> other) near1 JOIN skeleton ON skeleton.fqn = other),
-contexts AS (SELECT z.fqn, z.signature AS wanted, any_value(raw_body) AS raw_body, any_value(head) || ',"nbr":[' || coalesce(string_agg('"' || replace(s, '"', '\\"') || '"', ',' ORDER BY other), '') || ']}}' AS context,
+contexts AS (SELECT z.fqn, z.signature AS wanted, any_value(raw_body) AS raw_body, any_value(head) || ',"nbr":[' || coalesce(string_agg(s, ',' ORDER BY other), '') || ']}}' AS context,
   CAST(any_value(used) + coalesce(sum(tokens), 0) AS BIGINT) AS tokens, z.fqn || coalesce(',' || string_agg(other, ',' ORDER BY other), '') AS included FROM sized z LEFT JOIN shown ON shown.fqn = z.fqn AND running <= {budget} - used GROUP BY z.fqn, z.signature) """
 
 
 def _contexts(spark, sf, budget):
     g = commerce(spark, sf)
-    return X.method_contexts(g, g.methods.select("fqn", F.col("signature").alias("wanted")), budget).withColumn("included", F.array_join("included", ","))
+    return X.method_contexts(g, g.methods.select("fqn", F.col("signature").alias("wanted")), budget, A.summaries(g)).withColumn("included", F.array_join("included", ","))
 
 
-@query("ctx1_method_context", context_sql(200) + "SELECT fqn, wanted, context, tokens, included FROM contexts")
+@query("ctx1_method_context", context_sql(500) + "SELECT fqn, wanted, context, tokens, included FROM contexts")
 def ctx1(spark, sf):
-    return _contexts(spark, sf, 200)
+    return _contexts(spark, sf, 500)
 
 
 @query("agg17_token_benchmark", context_sql(500) + "SELECT CAST(floor(sum(length(raw_body)) / 4) AS BIGINT) AS raw_tokens, CAST(sum(length(context) // 4) AS BIGINT) AS context_tokens FROM contexts")
@@ -731,8 +737,8 @@ def agg17(spark, sf):
     return A.token_benchmark(F.col("raw_body"), F.col("context"), rows).select("raw_tokens", F.col("context_tokens").cast("long").alias("context_tokens"))
 
 
-@query("ctx2_class_context", """WITH m AS (SELECT fqn, string_agg('{"signature":"' || signature || '","name":"' || name || '","return_type":"' || return_type || '","raw_body":"' || raw_body || '"}', ',' ORDER BY signature) AS body FROM methods GROUP BY 1),
-t AS (SELECT c.fqn, '{"t":"class_wide","c":' || CAST(community_id AS VARCHAR) || ',"metadata":{"class_name":"' || simple_name || '","fqn":"' || c.fqn || '"}' || coalesce(',"methods":[' || body || ']', '') || '}' AS context FROM classes c LEFT JOIN m ON m.fqn = c.fqn)
+@query("ctx2_class_context", """WITH m AS (SELECT fqn, string_agg('{"name":"' || name || '","signature":"' || signature || '","return_type":"' || return_type || '","raw_body":"' || raw_body || '"}', ',' ORDER BY signature) AS body FROM methods GROUP BY 1),
+t AS (SELECT c.fqn, '{"t":"class_wide","c":' || CAST(community_id AS VARCHAR) || ',"metadata":{"file_path":"' || regexp_replace(c.fqn, '\\.[^.]*$', '') || '.java","package_name":"' || regexp_replace(c.fqn, '\\.[^.]*$', '') || '","class_name":"' || simple_name || '"},"methods":[' || coalesce(body, '') || ']}' AS context FROM classes c LEFT JOIN m ON m.fqn = c.fqn)
 SELECT fqn, context, CAST(least(3000, greatest(1, length(context) // 4)) AS BIGINT) AS tokens FROM t""")
 def ctx2(spark, sf):
     g = commerce(spark, sf)
