@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
-from corpus_pipeline import run as pipeline
-
 from .conversations import op12_conversations
 from .html_text import op3_html
 from .lexical import OP13_SQL, op13_lexical
@@ -33,9 +30,6 @@ QUERIES = {
     "op11_token_counts": op11_token_counts,
     "op12_conversations": op12_conversations,
     "op13_lexical": op13_lexical,
-    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op13_lexical": OP13_SQL}
-if PIPELINE_SQL:
-    ORACLES["pipeline"] = PIPELINE_SQL
