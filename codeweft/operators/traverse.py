@@ -111,7 +111,7 @@ def shortest_path(graph: Graph, a: str, b: str, types=PATH_TYPES) -> DataFrame:
 
 
 def explain_path(paths: DataFrame) -> DataFrame:
-    """Adds a sentence; hops are counted as vertices."""
+    """Adds a sentence (fixed values, like those of ``explain_types`` and ``answer_text``); hops are counted as vertices."""
     text = F.concat(F.lit("Path ("), F.size("hops").cast("string"), F.lit(" hops): "), F.array_join(F.transform("hops", simple_name), " → "), F.lit(". Each hop is a structural relationship in the Java graph."))
     same = F.when(F.col("source") == F.col("target"), "Start and end are the same type.").when(F.size("hops") == 0, "No path found between types.")
     return paths.withColumn("explanation", F.coalesce(same, text))

@@ -533,7 +533,22 @@ def gra5(spark, sf):
     return T.shortest_path(g, a, b).select("source", "target", F.size("hops").alias("vertices"))
 
 
-@query("gra6_explain_path")
+#: The least of the shortest paths, hop by hop: of the neighbours that are nearer to the target, the least.
+ROUTE = """WITH ends AS (SELECT min(fqn) AS a, max(fqn) AS b FROM classes WHERE kind = 'INTERFACE'),
+l AS (SELECT a, b FROM class_links UNION SELECT b, a FROM class_links), li AS (SELECT l.a, l.b FROM l JOIN classes x ON x.fqn = l.a JOIN classes y ON y.fqn = l.b WHERE l.a <> l.b),
+back AS (SELECT b AS fqn, 0 AS depth FROM ends UNION SELECT li.b, depth + 1 FROM back JOIN li ON li.a = back.fqn WHERE depth < 8), far AS (SELECT fqn, min(depth) AS d FROM back GROUP BY 1),
+step AS (SELECT li.a AS fqn, min(li.b) AS other FROM li JOIN far x ON x.fqn = li.a JOIN far y ON y.fqn = li.b AND y.d = x.d - 1 GROUP BY 1),
+route AS (SELECT a AS fqn, [a] AS hops FROM ends UNION ALL SELECT other, list_append(hops, other) FROM route JOIN step ON step.fqn = route.fqn) """
+
+
+@query("gra5_hops", ROUTE + "SELECT a AS source, b AS target, array_to_string((SELECT hops FROM route WHERE route.fqn = ends.b), ',') AS hops FROM ends")
+def gra5_hops(spark, sf):
+    g = commerce(spark, sf)
+    a, b = g.classes().where("kind = 'INTERFACE'").agg(F.min("fqn"), F.max("fqn")).first()
+    return T.shortest_path(g, a, b).select("source", "target", F.array_join("hops", ",").alias("hops"))
+
+
+@query("gra6_explain_path", ROUTE + """SELECT a AS source, b AS target, CASE WHEN a = b THEN 'Start and end are the same type.' ELSE coalesce((SELECT 'Path (' || CAST(len(hops) AS VARCHAR) || ' hops): ' || array_to_string(list_transform(hops, lambda x: split_part(x, '.', -1)), ' → ') || '. Each hop is a structural relationship in the Java graph.' FROM route WHERE route.fqn = ends.b), 'No path found between types.') END AS explanation FROM ends""")
 def gra6(spark, sf):
     g = commerce(spark, sf)
     a, b = g.classes().where("kind = 'INTERFACE'").agg(F.min("fqn"), F.max("fqn")).first()
