@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one for each operator of the inventory, and their DuckDB SQL.
 
-Names start with the operator's id. Where no SQL is given, tests hold the operator against plain results on small graphs, or only that it has rows (README).
+Names start with the operator's id. Where no SQL is given, tests hold the operator against plain results on small graphs; snk18 is only known to have rows.
 """
 
 from __future__ import annotations
