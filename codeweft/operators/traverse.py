@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from ..functions.scalars import package_of, simple_name
 from ..graph import Graph
 from ..schemas import PATH_TYPES, TRAVERSAL_TYPES
 from ..storage import pinned
+from .exports import numbered
 
 
 def k_hops(graph: Graph, starts: DataFrame, depth: int, types=TRAVERSAL_TYPES) -> DataFrame:
@@ -47,31 +47,45 @@ def breadth_first(graph: Graph, seeds: DataFrame, depth: int = 3, types=TRAVERSA
     return seen
 
 
+#: Width of a step in a place: two digits for the type, twelve for the other's number.
+_STEP = 14
+
+
 def depth_first(graph: Graph, seed: str, depth: int = 4, types=TRAVERSAL_TYPES) -> DataFrame:
     """(place, fqn, depth, from_fqn, via) in preorder. A node counts as visited even where it is too deep to be listed.
 
-    Preorder is sequential; its input is only the neighbourhood within ``depth`` + 1 hops of one seed.
+    A walk tries steps in the order of their paths, so a node's path is the least of the tries from nodes that
+    are listed. All paths are worked out at once, from those of the round before, until none changes: what is
+    then left has one solution, and each round settles at least the next node of the order, as a rule far more.
     """
     spark = graph.nodes.sparkSession
-    start = spark.createDataFrame([(seed,)], "fqn string")
-    around = k_hops(graph, start, depth, types).select("fqn").union(start).distinct()
-    links = graph.neighbours(types).join(around, "fqn").withColumn("step", _step_key(types))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        near = {fqn: list(some.sort_values("step")[["type", "other"]].itertuples(index=False, name=None)) for fqn, some in rows.groupby("fqn")}
-        seen, out, stack = set(), [], [(seed, 0, None, None)]
-        while stack:
-            fqn, d, parent, via = stack.pop()
-            if fqn in seen:
-                continue
-            seen.add(fqn)
-            if d > depth:
-                continue
-            out.append((len(out), fqn, d, parent, via))
-            stack += [(other, d + 1, fqn, t) for t, other in reversed(near.get(fqn, []))]
-        return pd.DataFrame(out, columns=["place", "fqn", "depth", "from_fqn", "via"])
-
-    return links.groupBy().applyInPandas(walk, "place long, fqn string, depth int, from_fqn string, via string")
+    near = pinned(graph.neighbours(types), "walk-near")
+    names = pinned(numbered(near.select("fqn").union(near.select("other")).distinct(), ["fqn"], "n"), "walk-names")
+    first = names.where(F.col("fqn") == seed).select("n").first()
+    if first is None:
+        return spark.createDataFrame([(0, seed, 0, None, None)], "place long, fqn string, depth int, from_fqn string, via string")
+    order = F.coalesce(*[F.when(F.col("type") == t, F.lit(i)) for i, t in enumerate(types)])
+    steps = near.join(names.select("fqn", F.col("n").alias("at")), "fqn").join(names.select(F.col("fqn").alias("other"), F.col("n").alias("to")), "other")
+    steps = pinned(steps.select("at", "to", order.cast("int").alias("kind")), "walk-steps")
+    step = F.concat("path", F.lpad(F.col("kind").cast("string"), 2, "0"), F.lpad(F.hex("to"), 12, "0"))
+    start = spark.createDataFrame([(first[0], "")], "at long, path string")
+    now, many = start, 1
+    while True:
+        tries = now.where(F.length("path") <= _STEP * depth).join(steps, "at").select(F.col("to").alias("at"), step.alias("path"))
+        new = pinned(tries.union(start).groupBy("at").agg(F.min("path").alias("path")), "walk-paths")
+        count = new.count()
+        same = count == many and not new.join(now, ["at", "path"], "left_anti").limit(1).count()
+        now, many = new, count
+        if same:
+            break
+    listed = numbered(now.where(F.length("path") <= _STEP * depth), ["path"], "place")
+
+    parent = F.conv(F.substring("path", 2 - 2 * _STEP, 12), 16, 10).try_cast("long")
+    deep = (F.length("path") / _STEP).cast("int")
+    kind = F.substring("path", -_STEP, 2).try_cast("int")
+    rows = listed.select("place", "at", deep.alias("depth"), F.when(deep == 1, first[0]).when(deep > 1, parent).alias("before"), F.when(deep > 0, F.element_at(F.array(*map(F.lit, types)), kind + 1)).alias("via"))
+    rows = rows.join(names.select(F.col("n").alias("at"), "fqn"), "at").join(names.select(F.col("n").alias("before"), F.col("fqn").alias("from_fqn")), "before", "left")
+    return rows.select("place", "fqn", "depth", "from_fqn", "via")
 
 
 def answer_text(graph: Graph, steps: DataFrame, question: str, budget: int = 3000, types=TRAVERSAL_TYPES) -> DataFrame:

@@ -43,6 +43,13 @@ def test_depth_first_equals_a_plain_walk(spark, seed):
     assert got == want
 
 
+def test_depth_first_takes_no_task_for_the_whole_walk(spark):
+    graph, links = random_graph(spark, 4)
+    walk = T.depth_first(graph, links[0][1], 3, ("DEPENDS_ON", "EXTENDS"))
+    assert "InPandas" not in walk._jdf.queryExecution().toString()
+    assert [tuple(r) for r in T.depth_first(graph, "nowhere", 3).collect()] == [(0, "nowhere", 0, None, None)]
+
+
 def all_shortest(near, a, b):
     level, found = [[a]], []
     while level and not found:
