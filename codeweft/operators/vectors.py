@@ -142,10 +142,21 @@ def decode_vectors(vectors: DataFrame, column: str = "vector") -> DataFrame:
     return vectors.withColumn(column, floats(column))
 
 
-def alike_shapes(types: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one kind and number of methods, for when there are no vectors."""
+def alike_shapes(types: DataFrame, block: int = 1_000) -> DataFrame:
+    """Pairs (a, b) of one kind and number of methods, for when there are no vectors.
+
+    The pairs are many more than the types, so large groups are cut into blocks of about ``block`` types, whose
+    pairs of blocks are dealt over all tasks.
+    """
     t = types.select("fqn", "kind", "method_count")
-    return t.alias("a").join(t.alias("b"), (F.col("a.kind") == F.col("b.kind")) & (F.col("a.method_count") == F.col("b.method_count")) & (F.col("a.fqn") < F.col("b.fqn"))).select(F.col("a.fqn").alias("a"), F.col("b.fqn").alias("b"), F.lit(0.5).alias("weight"), F.lit(0.65).alias("confidence_score"))
+    sizes = t.groupBy("kind", "method_count").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    own = t.join(sizes, ["kind", "method_count"]).withColumn("own", F.pmod(F.xxhash64("fqn"), F.col("blocks")))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = ["kind", "method_count", "p", "q"]
+    # A number that is asked for stays: the rows are few, so they would be put together into a task or two.
+    dealt = each.select("fqn", "kind", "method_count", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own").repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    pairs = dealt.alias("a").join(dealt.alias("b"), key).where((F.col("a.fqn") < F.col("b.fqn")) & ((F.col("p") == F.col("q")) | (F.col("a.own") != F.col("b.own"))))
+    return pairs.select(F.col("a.fqn").alias("a"), F.col("b.fqn").alias("b"), F.lit(0.5).alias("weight"), F.lit(0.65).alias("confidence_score"))
 
 
 def best_scores(vectors: DataFrame, query: list[float], least: float = 0.65) -> DataFrame:
