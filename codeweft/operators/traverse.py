@@ -103,25 +103,38 @@ def answer_text(graph: Graph, steps: DataFrame, question: str, budget: int = 300
 def shortest_path(graph: Graph, a: str, b: str, types=PATH_TYPES) -> DataFrame:
     """(source, target, hops): the first of the shortest paths between internal types; empty hops if none.
 
-    Searches until the target is met or the frontier is empty, however far that is.
+    Searches back from the target until the source is met or the frontier is empty, however far that is; the
+    path then takes, hop by hop, the least of the types that are nearer to the target.
     """
     spark = graph.nodes.sparkSession
-    inside = graph.classes().select("fqn")
-    links = graph.class_links().where(F.col("type").isin(*types)).select("a", "b")
-    links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    links = links.join(inside.select(F.col("fqn").alias("a")), "a", "left_semi").join(inside.select(F.col("fqn").alias("b")), "b", "left_semi")
-    links = pinned(links, "path-links")
-    seen = frontier = spark.createDataFrame([(a, [a])], "fqn string, hops array<string>")
-    while True:
-        if a == b or frontier.where(F.col("fqn") == b).limit(1).count():
-            break
-        step = frontier.join(links, frontier["fqn"] == links["a"]).select(F.col("b").alias("fqn"), F.concat("hops", F.array("b")).alias("hops"))
-        frontier = pinned(step.groupBy("fqn").agg(F.min("hops").alias("hops")).join(seen.select("fqn"), "fqn", "left_anti"), "path-frontier")
-        if not frontier.limit(1).count():
-            break
-        seen = pinned(seen.union(frontier), "path-seen")
-    found = frontier.where(F.col("fqn") == b).select("hops")
-    return spark.createDataFrame([(a, b)], "source string, target string").join(found, how="left").select("source", "target", F.coalesce("hops", F.array().cast("array<string>")).alias("hops"))
+
+    def answer(hops: list[str]) -> DataFrame:
+        return spark.createDataFrame([(a, b, hops)], "source string, target string, hops array<string>")
+
+    if a == b:
+        return answer([a])
+    inside = pinned(graph.classes().select("fqn"), "path-types")
+    links = pinned(graph.class_links().where(F.col("type").isin(*types)).select("a", "b"), "path-links")
+
+    def around(some: DataFrame) -> DataFrame:
+        """Internal neighbours of ``some`` (fqn)."""
+        met = links.join(some.select(F.col("fqn").alias("b")), "b", "left_semi").select(F.col("a").alias("fqn")).union(links.join(some.select(F.col("fqn").alias("a")), "a", "left_semi").select(F.col("b").alias("fqn")))
+        return met.distinct().join(inside, "fqn", "left_semi")
+
+    levels = [pinned(inside.where(F.col("fqn") == b), "path-frontier")]
+    while not levels[-1].where(F.col("fqn") == a).limit(1).count():
+        # What is next to a level lies in it or beside it: only the last two can be met again.
+        new = around(levels[-1])
+        for seen in levels[-2:]:
+            new = new.join(seen, "fqn", "left_anti")
+        levels.append(pinned(new, "path-frontier"))
+        if not levels[-1].limit(1).count():
+            return answer([])
+    hops = [a]
+    for level in reversed(levels[:-1]):
+        here = spark.createDataFrame([(hops[-1],)], "fqn string")
+        hops.append(around(here).join(level, "fqn", "left_semi").agg(F.min("fqn")).first()[0])
+    return answer(hops)
 
 
 def explain_path(paths: DataFrame) -> DataFrame:
