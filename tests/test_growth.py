@@ -48,3 +48,13 @@ def test_paths_are_found_from_the_target(spark):
     graph, links = random_graph(spark, 2)
     start = links[0][1]
     assert T.shortest_path(graph, start, start).first()["hops"] == [start] and T.shortest_path(graph, start, "nowhere").first()["hops"] == [] and T.shortest_path(graph, "nowhere", start).first()["hops"] == []
+
+
+def test_many_edges_are_no_error(spark):
+    from codeweft.graph import Graph
+
+    n = 2_001
+    edges = spark.createDataFrame([("DEPENDS_ON", f"class:a{i:04d}", f"class:b{i:04d}", 1.0, "EXTRACTED", 1.0) for i in range(n)], "type string, from_id string, to_id string, weight double, provenance string, confidence_score double")
+    one = spark.createDataFrame([(f"a{i:04d}", "all") for i in range(n)], "fqn string, component string")
+    rows = C.removal_order(Graph(edges.limit(0), edges), one).orderBy("place").collect()
+    assert [(r["place"], r["a"], r["b"], r["betweenness"]) for r in rows] == [(i, f"a{i:04d}", f"b{i:04d}", 2.0) for i in range(n)]
