@@ -28,6 +28,15 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of edges that a task of a step over all edges takes.
+ROWS_A_PART = 1 << 17
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for a step over ``rows`` rows of edges, so that what a task holds doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_PART))
+
+
 TABLES = ("nodes", "edges", "methods", "types")
 
 

@@ -44,6 +44,29 @@ def test_links_of_types_leave_methods_alone(spark):
     assert "CALLS" not in plan(graph.class_links()) and graph.with_(edges=graph.edges.limit(0)).class_links().count() == 0
 
 
+def test_neighbours_leave_edges_between_methods_alone(spark):
+    graph = commerce(spark, SF)
+    types = ("DEPENDS_ON", "CALLS", "EXTENDS", "IMPLEMENTS", "USES")
+    found = graph.neighbours(types)
+    assert "CALLS" not in plan(found) and plan(found).count("lineitem") <= plan(graph.edges.where("type IN ('DEPENDS_ON', 'USES')")).count("lineitem")
+    assert sorted(found.collect()) == sorted(graph.with_(edges=graph.edges).neighbours(types).collect())
+
+
+def test_what_a_task_holds_does_not_grow(spark, monkeypatch):
+    """Steps over all edges take as many tasks as the rows ask for, and none of the edges is held before its shuffle."""
+    from codeweft import storage
+    from codeweft.operators import analysis as A
+
+    few = commerce(spark, SF)
+    monkeypatch.setattr(storage, "ROWS_A_PART", 100)
+    many = commerce(spark, SF)
+    assert many.parts > 50 > few.parts
+    for step in (lambda g: g.neighbours(("DEPENDS_ON", "USES")), A.pair_weights):
+        assert step(many).rdd.getNumPartitions() == many.parts
+        assert sorted(step(many).collect()) == sorted(step(few).collect()) == sorted(step(few.with_(edges=few.edges)).collect())
+    assert many.class_links().where("type = 'DEPENDS_ON'").rdd.getNumPartitions() == many.parts == many.edges.where("type = 'CALLS'").rdd.getNumPartitions()
+
+
 def test_paths_are_found_from_the_target(spark):
     graph, links = random_graph(spark, 2)
     start = links[0][1]
