@@ -41,6 +41,21 @@ def test_method_context_is_whole_and_within_its_budget(spark, tmp_path):
     assert X.method_contexts(graph, spark.createDataFrame([("shop.Cart", "none")], "fqn string, wanted string")).count() == 0
 
 
+def test_contexts_are_not_shuffled_and_skeletons_written_once(spark):
+    from codeweft.plans.queries import QUERIES, _contexts
+
+    sf = "/root/testdata/sf0.001"
+    plans = [QUERIES["agg17_token_benchmark"](spark, sf), _contexts(spark, sf, None)]
+    agg, whole = (df._jdf.queryExecution().optimizedPlan().toString() for df in plans)
+    # What is asked for meets a method's row as text; the document is not written anew for each of its type's methods.
+    assert agg.count("Join") < QUERIES["ctx1_method_context"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Join") + 1
+    assert "CALLS" not in whole and whole.count("nbr") and not any("to_json" in line and "nbr:" in line for line in whole.splitlines())
+    row = next(r for r in _contexts(spark, sf, None).collect() if r["included"].count(",") > 2)
+    doc = json.loads(row["context"])
+    assert [n["fqn"] for n in doc["nbr"]] == row["included"].split(",")[1:]
+    assert row["tokens"] == sum(len(json.dumps(x, separators=(",", ":"))) // 4 for x in [{k: v for k, v in doc.items() if k != "nbr"}, *doc["nbr"]])
+
+
 def test_class_contexts(spark, tmp_path):
     graph = shop(spark, tmp_path)
     row = X.class_contexts(graph, spark.createDataFrame([("shop.Cart",)], "fqn string"), 40).first()
