@@ -4,7 +4,8 @@ A folder holds tables under names that are never reused, and numbered commits. A
 batches of changes of one version; the highest number is the current one. Commits are put in place by a
 rename that fails if the number is taken, so readers see a version whole or not at all, and a reader of an
 older version keeps it until retention removes it. A change is a whole row, or a tombstone for its key; the
-last batch that names a key decides. A batch of events writes what the events touch, not the graph.
+last batch that names a key decides. A batch of events writes what the events touch, not the graph, and a
+reader moves only the rows of the base that a change may name.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .graph import Graph
+from .operators.sieve import sieve
 
 GRAPH = ("nodes", "edges", "methods", "types")
 KEYS = {
@@ -87,7 +89,7 @@ class GraphLog:
         return self._put(Commit((self.numbers() or [-1])[-1] + 1, self._write(tables), []))
 
     def append(self, changes: dict[str, DataFrame], batch: int = -1) -> Commit:
-        """A version with ``changes``: rows with a column ``gone``, true for tombstones. A batch that is in already changes nothing."""
+        """A version with ``changes``: rows with a column ``gone``, true for tombstones, each key once. A batch that is in already changes nothing."""
         now = self.commit()
         if 0 <= batch <= now.batch:
             return now
@@ -106,10 +108,20 @@ class GraphLog:
         key = KEYS[name]
         changed = reduce(DataFrame.unionByName, parts)
         rest = [c for c in changed.columns if c not in key]
-        last = changed.groupBy(*key).agg(F.max_by(F.struct(*rest), "_at").alias("_last")).select(*key, "_last.*")
-        # Changes are few beside the base, which so keeps its place: only keys of changes are looked up.
+        # A batch names a key once, so only several batches have to be compared.
+        last = changed if len(parts) == 1 else changed.groupBy(*key).agg(F.max_by(F.struct(*rest), "_at").alias("_last")).select(*key, "_last.*")
         kept = last.where(~F.col("gone")).drop("gone", "_at")
-        return kept if base is None else base.join(last.select(*key), key, "left_anti").select(*base.columns).unionByName(kept.select(*base.columns))
+        if base is None:
+            return kept
+        # Most rows of the base stay where they are: edges of types that did not change, and rows that no change can name.
+        same, others = [], base
+        if name == "edges":
+            types = [r[0] for r in changed.select("type").distinct().collect()]  # a handful
+            of = F.coalesce(F.col("type").isin(types), F.lit(False))
+            same, others = [base.where(~of)], base.where(of)
+        looked = sieve(changed, *key).marked(others, "_maybe", *key)
+        found = looked.where("_maybe").join(last.select(*key), key, "left_anti")
+        return reduce(DataFrame.unionByName, [x.select(*base.columns) for x in (*same, looked.where("not _maybe"), found, kept)])
 
     def graph(self, number: int | None = None) -> Graph:
         """A version, the current one by default, its changes merged in."""
@@ -158,8 +170,15 @@ def difference(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame
     """Rows of ``after`` that ``before`` has not, and tombstones for keys that are gone; keys are unique on either side."""
     columns = before.columns
     rest = [c for c in columns if c not in key]
-    both = before.withColumn("_after", F.lit(0)).unionByName(after.select(*columns).withColumn("_after", F.lit(1)))
-    text = F.to_json(F.struct(*columns))
-    grouped = both.groupBy(*key).agg(F.max_by(F.struct(*rest, "_after"), "_after").alias("r"), F.count(F.lit(1)).alias("n"), (F.min(text) != F.max(text)).alias("differs"))
-    changed = grouped.where((F.col("n") == 1) | F.col("differs"))
-    return changed.select(*key, "r.*").withColumn("gone", F.col("_after") == 0).select(*columns, "gone")
+    maps = [f.name for f in before.schema if "map<" in f.dataType.simpleString()]  # have no equality but as text
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*key, F.struct(F.lit(True).alias("_is"), *rest).alias(name))
+
+    def value(side: str, column: str):
+        return F.to_json(F.struct(f"{side}.{column}")) if column in maps else F.col(f"{side}.{column}")
+
+    both = side(before, "_old").join(side(after, "_new"), key, "full_outer")
+    same = reduce(Column.__and__, [value("_old", c).eqNullSafe(value("_new", c)) for c in ["_is", *rest]])
+    row = F.coalesce("_new", "_old")
+    return both.where(~same).select(*[F.col(c) if c in key else row[c].alias(c) for c in columns], F.col("_new").isNull().alias("gone"))

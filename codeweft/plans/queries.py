@@ -855,11 +855,14 @@ SELECT 'node' AS kind, coalesce(new_id, id) AS a, status AS b FROM nodes LEFT JO
 UNION ALL SELECT type, coalesce(x.new_id, from_id), coalesce(y.new_id, to_id) FROM edges LEFT JOIN ren x ON x.old_id = from_id LEFT JOIN ren y ON y.old_id = to_id""")
 def str2_graph(spark, sf):
     """Clicks give the method of their number a new signature."""
-    methods = commerce(spark, sf).methods.select("fqn", "signature")
+    # An order's own number is its method's signature: clicks meet orders by it before their customers' names are looked up.
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("signature"), F.col("o_custkey").alias("key"))
+    customers = parties(spark, sf).where("side = 'c'").select("key", "fqn")
 
     def of(events: DataFrame) -> DataFrame:
         clicks = events.where("event_type = 'click'").select(F.col("event_id").cast("string").alias("signature"), F.get_json_object("props", "$.k").alias("k"), "ts")
-        return clicks.join(methods, "signature").select(F.lit(SIGNATURE).alias("kind"), S.method_id(F.col("fqn"), F.col("signature")).alias("node_id"), F.concat("signature", F.lit("v"), "k").alias("new_signature"), "ts")
+        methods = clicks.join(orders, "signature").join(customers, "key")
+        return methods.select(F.lit(SIGNATURE).alias("kind"), S.method_id(F.col("fqn"), F.col("signature")).alias("node_id"), F.concat("signature", F.lit("v"), "k").alias("new_signature"), "ts")
 
     return _mutated(spark, sf, of)
 

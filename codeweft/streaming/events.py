@@ -13,6 +13,7 @@ from ..functions.scalars import class_fqn_from_method_id, class_id, method_id, s
 from ..graph import Graph
 from ..operators import mutate as M
 from ..operators import records
+from ..operators.sieve import sieve
 from ..storage import load_version, pinned, shared_dir
 
 SPLIT, SIGNATURE, MIGRATED = "NODE_SPLIT", "SIGNATURE_CHANGED", "NODE_MIGRATED"
@@ -58,12 +59,22 @@ def mutate_stream(events: DataFrame, start: str, root: str, checkpoint: str) ->
 
 
 def touched(graph: Graph, ids: DataFrame) -> Graph:
-    """The part of the graph that events on ``ids`` (id) can change: these nodes, their edges, methods and types."""
-    near = ids.distinct()
-    edges = graph.edges.join(near.select(F.col("id").alias("from_id")), "from_id", "left_semi").unionByName(graph.edges.join(near.select(F.col("id").alias("to_id")), "to_id", "left_semi"))
-    methods = graph.methods and graph.methods.join(near, method_id(F.col("fqn"), F.col("signature")) == near["id"], "left_semi")
-    types = graph.types and graph.types.join(near, class_id(F.col("fqn")) == near["id"], "left_semi")
-    return Graph(graph.nodes.join(near, "id", "left_semi").select(*graph.nodes.columns), edges.select(*graph.edges.columns).dropDuplicates(M.EDGE_KEY), methods, types)
+    """The part of the graph that events on ``ids`` (id, each once) can change: these nodes, their edges, methods and types.
+
+    Only what may be touched is moved to be joined.
+    """
+    some = sieve(ids, "id")
+
+    def of(rows: DataFrame, id_) -> DataFrame:
+        return some.marked(rows.withColumn("_own", id_), "_maybe", "_own").where("_maybe").join(ids.select(F.col("id").alias("_own")), "_own", "left_semi").select(*rows.columns)
+
+    edges = some.marked(some.marked(graph.edges, "_from", "from_id"), "_to", "to_id").where("_from or _to").drop("_from", "_to")
+    for end in ("from_id", "to_id"):
+        edges = edges.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    edges = edges.where("_from_id or _to_id").select(*graph.edges.columns)
+    methods = graph.methods and of(graph.methods, method_id(F.col("fqn"), F.col("signature")))
+    types = graph.types and of(graph.types, class_id(F.col("fqn")))
+    return Graph(of(graph.nodes, F.col("id")), edges, methods, types)
 
 
 def mutate_log(events: DataFrame, log: GraphLog, checkpoint: str) -> StreamingQuery:
@@ -81,7 +92,7 @@ def mutate_log(events: DataFrame, log: GraphLog, checkpoint: str) -> StreamingQu
         fresh = pinned(last.join(known, ["kind", "node_id"], "left").where(F.col("_seen").isNull() | (F.col("timestamp") > F.col("_seen"))).drop("_seen"), "events")
         renamed = method_id(class_fqn_from_method_id(F.col("node_id")), F.col("new_signature"))
         ids = fresh.select(F.col("node_id").alias("id")).union(fresh.where(F.col("kind") == SIGNATURE).select(renamed))
-        before = touched(log.graph(), ids)
+        before = touched(log.graph(), pinned(ids.distinct(), "events"))
         before = before.with_(nodes=pinned(before.nodes, "touched"), edges=pinned(before.edges, "touched"))
         after = apply_events(before, fresh)
         names = [t for t in ("nodes", "edges", "methods", "types") if getattr(before, t) is not None]

@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from test_walks import random_graph
 
 from codeweft.functions.scalars import endpoint_class
@@ -81,3 +82,52 @@ def test_many_edges_are_no_error(spark):
     one = spark.createDataFrame([(f"a{i:04d}", "all") for i in range(n)], "fqn string, component string")
     rows = C.removal_order(Graph(edges.limit(0), edges), one).orderBy("place").collect()
     assert [(r["place"], r["a"], r["b"], r["betweenness"]) for r in rows] == [(i, f"a{i:04d}", f"b{i:04d}", 2.0) for i in range(n)]
+
+
+def test_a_sieve_misses_no_key(spark):
+    from codeweft.operators.sieve import sieve
+
+    keys = spark.range(3000).selectExpr("concat('k', id) AS id", "CAST(IF(id % 7 = 0, NULL, id) AS long) AS n")
+    rows = keys.withColumn("there", F.lit(True)).union(spark.range(3000, 60_000).selectExpr("concat('k', id)", "id", "false"))
+    found = sieve(keys, "id", "n").marked(rows, "maybe", "id", "n").groupBy("there").agg(F.count(F.lit(1)).alias("n"), F.count_if("maybe").alias("maybe"))
+    got = {r["there"]: r for r in found.collect()}
+    assert got[True]["n"] == got[True]["maybe"] == 3000 and got[False]["n"] == 57_000 and got[False]["maybe"] < 4_000
+    assert sieve(keys.limit(0), "id").marked(rows, "maybe", "id").where("maybe").count() == 0
+
+
+def test_differences_of_rows(spark):
+    from codeweft.changelog import difference
+
+    shape = "k string, v long, m map<string,string>"
+    old = spark.createDataFrame([("same", None, {"a": "b"}), ("value", 1, None), ("map", 1, {"a": "b"}), ("gone", 4, None), ("null", 1, {})], shape)
+    new = spark.createDataFrame([("same", None, {"a": "b"}), ("value", 2, None), ("map", 1, {"a": "c"}), ("null", None, {}), ("new", None, None)], shape)
+    got = sorted((r["k"], r["v"], r["m"], r["gone"]) for r in difference(old, new, ["k"]).collect())
+    assert got == [("gone", 4, None, True), ("map", 1, {"a": "c"}, False), ("new", None, None, False), ("null", None, {}, False), ("value", 2, None, False)]
+
+
+def test_a_batch_moves_what_it_may_touch(spark, tmp_path):
+    """Without any broadcast of its own choice, neither a batch nor a reader shuffles the edges that no event can name."""
+    from test_changes import BATCHES, send, small_graph
+
+    from codeweft.changelog import GraphLog
+
+    store = spark._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    graph, log = small_graph(spark, 2000), GraphLog(spark, f"file://{tmp_path}/log")
+    log.create(graph)
+    edges = log.graph().edges.count()
+    thresholds = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = max(stages())
+    try:
+        for name in thresholds:
+            spark.conf.set(name, "-1")
+        send(spark, tmp_path, BATCHES[:1], log)
+        assert len(log.graph().edges.collect()) == edges
+    finally:
+        for name in thresholds:
+            spark.conf.unset(name)
+    assert sum(n for stage, n in stages().items() if stage > before) < edges / 4
