@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that a writer of a pinned table holds before they go to disk, and so a row group that a reader holds.
+ROW_GROUP = 16 << 20
+#: Tables of fewer rows are read as they lie.
+FEW_ROWS = 2_000
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,10 +32,20 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of a table just read; dealt to more tasks if they lie in so few row groups that one task would have the work of several."""
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]  # from the files' footers
+    total, context = sum(sizes), rows.sparkSession.sparkContext
+    if total <= FEW_ROWS or max(sizes) * context.defaultParallelism <= 2 * total:
+        return rows
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 10_000))
+    return rows.withColumn("_at", F.monotonically_increasing_id()).repartition(n, "_at").drop("_at")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_columns, pinned, table, texts_of, with_texts
+from .common import dealt, fold, map_columns, pinned, table, texts_of, with_texts
 from .hashing import NON_SPACE, chunks, column_bytes, tokens
 
 CHUNK_BYTES = 1 << 20
@@ -158,11 +158,11 @@ def quality(docs: DataFrame, labels: DataFrame, keep: list[str], host: Column |
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    found = quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels"), ["doc_id"])
+    found = quality(dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), table(spark, sf_dir, "labels"), ["doc_id"])
     return found.select("doc_id", "evidence", "host_rate", "path_rate", F.col("quality").alias("score"), F.when(F.col("quality") >= 0.5, 1).otherwise(0).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that are good with at least the threshold; whole rows travel as one column, so no name can clash."""
-    boxed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
+    boxed = dealt(docs.select(F.struct(*docs.columns).alias("row"))).select("row", "row.doc_id", "row.text", "row.source", "row.lang")
     return quality(boxed, labels, ["row"]).where(F.col("quality") >= threshold).select("row.*")
