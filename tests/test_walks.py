@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -92,3 +93,32 @@ def test_paths_are_the_least_of_the_shortest(spark, seed):
     for a, b in [(links[0][1], links[-1][2]), (links[1][1], links[-2][1])]:
         found = all_shortest(near, a, b)
         assert T.shortest_path(graph, a, b).first()["hops"] == (min(found) if found else [])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_betweenness_beside_hanging_trees(seed):
+    rng, near = random.Random(seed), {i: set() for i in range(12)}
+    for v in range(1, 12):
+        near[v].add(w := rng.randrange(v))
+        near[w].add(v)
+    for a, b in [rng.sample(range(12), 2) for _ in range(seed)]:
+        near[a].add(b)
+        near[b].add(a)
+    flow = {}
+    for a, b in itertools.permutations(near, 2):
+        paths = all_shortest(near, a, b)
+        for p in paths:
+            for e in zip(p, p[1:]):
+                key = min(e), max(e)
+                flow[key] = flow.get(key, 0.0) + 1 / len(paths)
+    assert C._betweenness(near) == pytest.approx(flow)
+
+
+def test_edges_of_a_component_go_in_seconds(spark):
+    rng = random.Random(3)
+    pairs = sorted({(f"a{rng.randrange(300):03d}", f"b{rng.randrange(30):03d}") for _ in range(600)})
+    edges = spark.createDataFrame([("DEPENDS_ON", f"class:{a}", f"class:{b}", 1.0, "EXTRACTED", 1.0) for a, b in pairs], "type string, from_id string, to_id string, weight double, provenance string, confidence_score double")
+    one = spark.createDataFrame([(a, "all") for a in {a for a, _ in pairs}], "fqn string, component string")
+    began = time.time()
+    rows = C.removal_order(Graph(edges.limit(0), edges), one).collect()
+    assert time.time() - began < 20 and sorted((r["a"], r["b"]) for r in rows) == pairs
