@@ -29,13 +29,19 @@ def _step_key(types) -> Column:
     return F.concat(F.lpad(order.cast("string"), 2, "0"), F.lit(":"), F.col("other"))
 
 
+def _next_to(graph: Graph, some: DataFrame, types) -> DataFrame:
+    """(fqn, type, other): the neighbours of ``some`` (fqn) alone, with no shuffle of all others where ``some`` are few."""
+    return graph.ends(types).join(some.select("fqn"), "fqn", "left_semi").distinct()
+
+
 def breadth_first(graph: Graph, seeds: DataFrame, depth: int = 3, types=TRAVERSAL_TYPES) -> DataFrame:
     """(fqn, depth, from_fqn, via, place) from ranked seeds (fqn, rank).
 
     ``place`` is the array of steps from the seed; arrays of one length compare in the order in which a
     queue would visit, so the first parent is a minimum and no global ranking is needed.
     """
-    near = pinned(graph.neighbours(types), "steps-near")
+    # One step asks only for what is next to the seeds; more steps use all neighbours again.
+    near = pinned(graph.neighbours(types), "steps-near") if depth > 1 else _next_to(graph, seeds, types)
     first = seeds.select("fqn", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("from_fqn"), F.lit(None).cast("string").alias("via"), F.array(F.lpad(F.col("rank").cast("string"), 6, "0")).alias("place"))
     seen, frontier = first, first
     for d in range(1, depth + 1):
@@ -90,7 +96,7 @@ def depth_first(graph: Graph, seed: str, depth: int = 4, types=TRAVERSAL_TYPES)
 
 def answer_text(graph: Graph, steps: DataFrame, question: str, budget: int = 3000, types=TRAVERSAL_TYPES) -> DataFrame:
     """One text: each step with its neighbours, cut to four characters a token, 200 at least."""
-    near = graph.neighbours(types).join(steps.select("fqn"), "fqn", "left_semi").groupBy("fqn").agg(F.sort_array(F.collect_set("other")).alias("others"))
+    near = _next_to(graph, steps, types).groupBy("fqn").agg(F.sort_array(F.collect_set("other")).alias("others"))
     via = F.when(F.col("via").isNotNull(), F.concat(F.lit(" (via "), "via", F.lit(" from "), "from_fqn", F.lit(")"))).otherwise("")
     others = F.array_join(F.transform(F.coalesce("others", F.array().cast("array<string>")), lambda o: F.concat(F.lit("    → "), o, F.lit("\n"))), "")
     line = F.concat(F.lit("- [depth "), F.col("depth").cast("string"), F.lit("] "), "fqn", via, F.lit("\n"), others)

@@ -153,3 +153,15 @@ def test_a_report_asks_for_hubs_and_surprises_once(spark):
 
     lines = QUERIES["snk18_report"](spark, SF)
     assert all(any(name in f for f in lines.inputFiles()) for name in ("report-hubs", "report-surprises")) and lines.where("line LIKE '- What depends on % and why is it a hub?'").count() == 1
+
+
+def test_a_step_from_few_types_moves_only_their_neighbours(spark, monkeypatch):
+    graph = commerce(spark, SF)
+    seed = spark.createDataFrame([(graph.classes().where("kind = 'INTERFACE'").agg(F.min("fqn")).first()[0], 1)], "fqn string, rank int")
+    types = ("DEPENDS_ON", "CALLS", "EXTENDS", "IMPLEMENTS", "USES")
+    wide = T.breadth_first(graph, seed, 2, types)
+    near = sorted(map(tuple, graph.neighbours(types).join(seed.select("fqn"), "fqn").collect()))
+    monkeypatch.setattr(type(graph), "neighbours", lambda *_: 1 / 0)
+    found = T.breadth_first(graph, seed, 1, types)
+    assert sorted(found.collect()) == sorted(wide.where("depth < 2").collect()) and found.where("depth = 1").count() == len({other for _, _, other in near})
+    assert T.answer_text(graph, found, "what", 200).first()["answer"].startswith("Query: what")
