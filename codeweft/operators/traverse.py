@@ -65,14 +65,16 @@ def depth_first(graph: Graph, seed: str, depth: int = 4, types=TRAVERSAL_TYPES)
     then left has one solution, and each round settles at least the next node of the order, as a rule far more.
     """
     spark = graph.nodes.sparkSession
-    near = pinned(graph.neighbours(types), "walk-near")
+    near = pinned(graph.pairs(types), "walk-near")  # names travel once for an edge; repeats do no harm to a minimum
     names = pinned(numbered(near.select("fqn").union(near.select("other")).distinct(), ["fqn"], "n"), "walk-names")
     first = names.where(F.col("fqn") == seed).select("n").first()
     if first is None:
         return spark.createDataFrame([(0, seed, 0, None, None)], "place long, fqn string, depth int, from_fqn string, via string")
     order = F.coalesce(*[F.when(F.col("type") == t, F.lit(i)) for i, t in enumerate(types)])
     steps = near.join(names.select("fqn", F.col("n").alias("at")), "fqn").join(names.select(F.col("fqn").alias("other"), F.col("n").alias("to")), "other")
-    steps = pinned(steps.select("at", "to", order.cast("int").alias("kind")), "walk-steps")
+    ways = F.array(F.struct("at", "to"), F.when(F.col("both"), F.struct(F.col("to").alias("at"), F.col("at").alias("to"))))
+    steps = steps.select(order.cast("int").alias("kind"), F.explode(F.array_compact(ways)).alias("way")).select("way.at", "way.to", "kind")
+    steps = pinned(steps, "walk-steps")
     step = F.concat("path", F.lpad(F.col("kind").cast("string"), 2, "0"), F.lpad(F.hex("to"), 12, "0"))
     start = spark.createDataFrame([(first[0], "")], "at long, path string")
     now, many = start, 1

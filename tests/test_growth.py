@@ -165,3 +165,12 @@ def test_a_step_from_few_types_moves_only_their_neighbours(spark, monkeypatch):
     found = T.breadth_first(graph, seed, 1, types)
     assert sorted(found.collect()) == sorted(wide.where("depth < 2").collect()) and found.where("depth = 1").count() == len({other for _, _, other in near})
     assert T.answer_text(graph, found, "what", 200).first()["answer"].startswith("Query: what")
+
+
+def test_an_edge_is_one_pair(spark):
+    graph, types = commerce(spark, SF), ("DEPENDS_ON", "EXTENDS", "IMPLEMENTS", "USES", "CONTAINS")
+    some = [("CONTAINS", "class:a", "method:b#m"), ("CALLS", "method:a#m", "class:c"), ("CALLS", "method:a#m", "method:c#n"), ("USES", "class:a", "tech:t"), ("USES", "class:a", "class:a"), ("CALLS", None, "class:c"), ("CALLS", "class:c", None)]
+    edges = spark.createDataFrame([(*e, 1.0, "EXTRACTED", 1.0) for e in some], "type string, from_id string, to_id string, weight double, provenance string, confidence_score double")
+    for g, kinds in ((graph, types), (graph.with_(edges=edges), ("CONTAINS", "CALLS", "USES"))):
+        pairs = g.pairs(kinds)
+        assert sorted(map(tuple, pairs.select("fqn", "type", "other").union(pairs.where("both").select("other", "type", "fqn")).collect())) == sorted(map(tuple, g.ends(kinds).collect()))
