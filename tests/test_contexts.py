@@ -69,3 +69,26 @@ def test_class_contexts(spark, tmp_path):
     assert own["class_annotations"] == ["@Deprecated"] and own["imports"] == ["jakarta.inject.Inject"]
     assert [(d["type"], d["name"]) for d in own["injected_dependencies"]] == [("Store", "store")] and [f["name"] for f in own["fields"]] == ["store", "total"]
     assert next(m for m in whole["methods"] if m["name"] == "price")["internal_calls"] == ["add"]
+
+
+def test_calls_are_looked_up_where_the_type_is(spark):
+    import re
+
+    from codeweft.plans.queries import QUERIES
+
+    for name in ("ctx1_method_context", "ctx3_surgical_context"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\(fqn#\d+, (name|wanted)#\d+", plan)
+
+
+def test_calls_are_in_their_order_with_all_methods_of_a_name(spark):
+    from codeweft.graph import Graph
+    from codeweft.operators import context as X
+
+    nodes = spark.createDataFrame([("class:a.A", "CLASS", "a.A", "A", False, 1, "PENDING")], "id string, kind string, fqn string, simple_name string, external boolean, community_id long, status string")
+    methods = spark.createDataFrame([("a.A", "f", "f()", "int", "{}", ["h", None, "g", "none", "g"]), ("a.A", "g", "g(x)", "int", None, None), ("a.A", "g", "g()", None, "{}", []), ("a.A", "h", "h()", "long", "{}", ["f"]), ("a.A", None, "n()", "long", "{}", ["f"])], "fqn string, name string, signature string, return_type string, raw_body string, calls array<string>")
+    edges = spark.createDataFrame([], "type string, from_id string, to_id string, weight double, provenance string, confidence_score double")
+    asked = spark.createDataFrame([("a.A", s) for s in ("f()", "g(x)", "h()")], "fqn string, wanted string")
+    found = {r["wanted"]: r["context"] for r in X.method_contexts(Graph(nodes, edges, methods), asked).collect()}
+    g = '{"n":"g","sig":"g()"},{"n":"g","sig":"g(x)","rt":"int"}'
+    assert '"calls":[{"n":"h","sig":"h()","rt":"long"},%s,%s]' % (g, g) in found["f()"] and '"calls":[]' in found["g(x)"] and '"calls":[{"n":"f","sig":"f()","rt":"int"}]' in found["h()"]
